@@ -61,10 +61,10 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 f0 AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
   length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS le, length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) AS di,
   CASE WHEN cw IS NULL THEN NULL ELSE list_filter(list_transform(w, lambda x: list_position(cw, lower(x))), lambda x: x > 0) END AS c FROM w LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [le - up, up, di, n_symbols, greatest(0, word_chars - le - di - n_symbols)] AS cb,
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [le - up + di, up, n_symbols, greatest(0, word_chars - le - di - n_symbols)] AS cb,
   CASE WHEN c IS NULL THEN NULL ELSE list_concat(list_transform(generate_series(1, {bins}), lambda k: len(list_filter(c, lambda x: x = k))), [n_words - len(c)]) END AS wb FROM f0),
-r AS (SELECT lang, count(*) AS docs, {avg("cb", 5)} AS cr, {avg("wb", bins + 1)} AS wr FROM f WHERE NOT base_failed AND n_words >= {p["min_words"]} GROUP BY lang),
-j AS (SELECT f.*, NOT base_failed AND NOT (n_words >= {p["min_words"]} AND docs >= {p["min_reference_docs"]} AND (coalesce({jsd("cb", "cr")}, 0) > {p["max_char_distance"]} OR coalesce({jsd("wb", "wr")}, 0) > {p["max_word_distance"]})) AS kept FROM f LEFT JOIN r USING (lang))"""
+r AS (SELECT lang, count(*) AS docs, {avg("cb", 4)} AS cr, {avg("wb", bins + 1)} AS wr FROM f WHERE NOT base_failed AND n_words >= {p["min_words"]} GROUP BY lang),
+j AS (SELECT f.*, NOT base_failed AND NOT (n_words >= {p["min_words"]} AND docs >= {p["min_reference_docs"]} AND (coalesce({jsd("cb", "cr")}, 0) > {p["max_char_distance"]} OR coalesce({jsd("wb", "wr")}, 0) > {p["max_word_distance"]} + {p["word_noise"]} / sqrt(greatest(n_words, 1)))) AS kept FROM f LEFT JOIN r USING (lang))"""
 
 
 OP4 = f"WITH {op4_features()} SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, coalesce(kept, NOT base_failed) AS kept FROM j"

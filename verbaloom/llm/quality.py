@@ -1,6 +1,6 @@
 """Quality rules by distribution divergence, in DataFrame expressions only.
 
-Each document gets two histograms: classes of characters (lower-case, upper-case, digit, symbol, other) and the common
+Each document gets two histograms: classes of characters (upper-case letters, other letters and digits, symbols, all else) and the common
 words of its language, with all other words in one more bin. References are the means of these histograms over all
 documents of the language that pass the base rules. A document is rejected when the Jensen-Shannon distance of either
 histogram to its reference is too large; the guards leave short documents and thin references unjudged.
@@ -26,7 +26,8 @@ COMMON_WORDS = {
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
-DEFAULTS = {"min_words": 80, "min_common": 0, "max_char_distance": 0.25, "max_word_distance": 0.60, "min_reference_docs": 20}
+#: A sample of n words has a distance of some noise / sqrt(n) to its own source; that much is granted to every text.
+DEFAULTS = {"min_words": 60, "max_char_distance": 0.15, "max_word_distance": 0.05, "word_noise": 3.2, "min_reference_docs": 20}
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -71,7 +72,7 @@ def features(documents: DataFrame, *, text_col: str = "text", lang_col: str = "l
     histograms = counted.withColumns(
         {
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "char_bins": F.array(F.col("__letters") - F.col("__upper"), "__upper", "__digits", "n_symbols", F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("__letters") - F.col("__digits") - F.col("n_symbols"))),
+            "char_bins": F.array(F.col("__letters") - F.col("__upper") + F.col("__digits"), "__upper", "n_symbols", F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("__letters") - F.col("__digits") - F.col("n_symbols"))),
             "word_bins": F.when(F.col("__common").isNotNull(), F.array(*[(F.size("__common") - F.size(F.array_remove("__common", F.lit(k).cast("long")))).cast("long") for k in range(1, bins + 1)], F.col("n_words") - F.size("__common"))),
         }
     )
@@ -81,7 +82,7 @@ def features(documents: DataFrame, *, text_col: str = "text", lang_col: str = "l
 
 def references(found: DataFrame, min_words: int) -> DataFrame:
     """A row per language: the mean share of each bin, and how many documents it rests on."""
-    n_chars = 5
+    n_chars = 4
     n_bins = len(next(iter(COMMON_WORDS.values()))) + 1
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     good = found.where(~F.col("base_failed") & (F.col("n_words") >= min_words)).withColumns({"__c": total("char_bins"), "__w": total("word_bins")})
@@ -116,7 +117,7 @@ def judge(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     refs = cut(references(found, p["min_words"]).coalesce(1), "quality-reference")
     scored = found.join(refs, "__lang", "left").withColumns({"char_distance": F.expr(js_distance("char_bins", "__char_ref")), "word_distance": F.expr(js_distance("word_bins", "__word_ref"))})
     known = (F.col("n_words") >= p["min_words"]) & (F.coalesce("__docs", F.lit(0)) >= p["min_reference_docs"])
-    far = known & ((F.coalesce("char_distance", F.lit(0.0)) > p["max_char_distance"]) | (F.coalesce("word_distance", F.lit(0.0)) > p["max_word_distance"]))
+    far = known & ((F.coalesce("char_distance", F.lit(0.0)) > p["max_char_distance"]) | (F.coalesce("word_distance", F.lit(0.0)) > p["max_word_distance"] + p["word_noise"] / F.sqrt(F.greatest("n_words", F.lit(1)))))
     return scored.withColumn("kept", ~F.col("base_failed") & ~far).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
