@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licenses, line_dedup, packing, quality, substring_dedup, url_rules
-from .common import table
+from . import decontaminate, jaccard_join, licenses, line_dedup, packing, quality, sharding, substring_dedup, url_rules
+from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ingest(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    placed = sharding.placement(store)
+    return placed.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "shard", "shard_bytes", "version")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.digest(decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -59,6 +65,7 @@ QUERIES: dict[str, Query] = {
         op5_substring_dedup,
         op6_best_fit_packing,
         op7_license_scan,
+        op8_size_tiered_shards,
         op9_benchmark_decontamination,
         op10_url_redirects,
     )
