@@ -25,16 +25,45 @@ from .common import cut, need
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words a worker keeps, and pieces in a salted group.
-CACHE_WORDS = 500_000
+#: Distinct units a worker remembers (some 40 bytes each), and pieces in a salted group.
+CACHE_WORDS = 2_500_000
 GROUP_PIECES = 50_000
 ROUNDS = 120
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Bytes that may end a word as a token of their own; none of them begins a contraction or a special token.
+ENDING = np.zeros(256, dtype=bool)
+ENDING[list(b"!#$%&*,.:;?")] = True
+LETTER = np.zeros(256, dtype=bool)
+LETTER[65:91] = LETTER[97:123] = True
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of what encodes on its own: words, and the punctuation that ends one after a letter.
+
+    Tokens never cross white space, and a run of letters ends where such punctuation begins.
+    """
+    starts, ends, rows = B.runs(B.NOT_SPACE[data], offsets)
+    if not len(starts):
+        return starts, ends, rows
+    place = np.arange(len(data))
+    split = np.maximum.accumulate(np.where(ENDING[data], -1, place))[ends - 1] + 1
+    last = data[np.maximum(split - 1, 0)]
+    latin = (data[np.maximum(split - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (split - 2 >= starts)
+    cuts = np.flatnonzero((split > starts) & (split < ends) & (LETTER[last] | latin))
+    twice = np.ones(len(starts), dtype=np.int64)
+    twice[cuts] = 2
+    starts, ends, rows, split = (np.repeat(x, twice) for x in (starts, ends, rows, split))
+    tails = np.cumsum(twice)[cuts] - 1
+    starts[tails] = split[tails]
+    ends[tails - 1] = split[tails]
+    return starts, ends, rows
+
+
 class WordEncoder:
-    """Token ids of words, remembered by their hash."""
+    """Token ids of units, remembered by their hash in sorted arrays."""
 
     def __init__(self, path: str, limit: int) -> None:
         from tokenizers import Tokenizer
@@ -44,47 +73,56 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.empty(1 << 16, dtype=np.uint32)
+        self.known = np.empty(0, dtype=np.uint64)
+        self.starts = np.empty(0, dtype=np.int64)
+        self.sizes = np.empty(0, dtype=np.int32)
+        self.ids = np.empty(1 << 16, dtype=np.uint16)
         self.used = 0
-        self.starts = np.empty(1 << 14, dtype=np.int64)
-        self.sizes = np.empty(1 << 14, dtype=np.int64)
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes ascend and are not known yet."""
         encoded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        sizes = np.fromiter(map(len, encoded), dtype=np.int32, count=len(encoded))
         flat = np.fromiter((i for e in encoded for i in e), dtype=np.uint32, count=int(sizes.sum()))
-        n = len(self.known)
+        if len(flat) and self.ids.dtype == np.uint16 and flat.max() > 65_535:
+            self.ids = self.ids.astype(np.uint32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(words) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.empty_like(self.sizes)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         self.used += len(flat)
-        self.known.update(zip(hashes, range(n, n + len(words)), strict=True))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.starts, self.sizes = np.insert(self.known, at, hashes), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a slab, and how many each row has. Tokens never cross white space, so words encode one by one."""
-        hashes, rows, starts, ends = B.word_hashes(data, offsets, B.NOT_SPACE)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        """All ids of a slab, and how many each row has."""
+        raw = data.tobytes()
+        if b"<|" not in raw:  # special tokens are told by their case; all else is lower-cased before it is encoded
+            data = B.LOWER[data]
+            raw = data.tobytes()
+        starts, ends, rows = units(data, offsets)
+        distinct, first, inverse = np.unique(B.span_hashes(B.prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > self.limit:
             self.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            raw = data.tobytes()
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
             where = first[new]
-            self.learn([keys[i] for i in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        entry = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
-        sizes = self.sizes[entry]
+            self.learn(distinct[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+        entry = np.searchsorted(self.known, distinct)[inverse]
+        sizes = self.sizes[entry].astype(np.int64)
         ids = self.ids[B.ranges(self.starts[entry], sizes)]
         return ids, np.bincount(rows, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)
 
 
-_encoders: dict[str, WordEncoder] = {}
+def worker_encoder(path: str, limit: int) -> WordEncoder:
+    """One encoder for each Python worker, so that tasks that follow one another share what it has learnt."""
+    import builtins
+
+    held = builtins.__dict__.setdefault("_verbaloom_encoders", {})
+    if path not in held:
+        held[path] = WordEncoder(path, limit)
+    return held[path]
 
 
 def tokenize_fn(tokenizer: str, capacity: int, end_id: int, cache_words: int):
@@ -97,7 +135,7 @@ def tokenize_fn(tokenizer: str, capacity: int, end_id: int, cache_words: int):
             import public_tokenizers
 
             path = public_tokenizers.path(tokenizer)
-        encoder = WordEncoder(path, cache_words)
+        encoder = worker_encoder(path, cache_words)
         for batch in batches:
             for low, high, data, offsets in B.slabs(batch.column(1)):
                 ids, counts = encoder.encode(data, offsets)
