@@ -47,44 +47,58 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?i)(?<!{WORD})" + f"{GAP}+".join(phrase.split()) + f"(?!{WORD})"
 
 
-def base(documents: DataFrame, phrases=PHRASES) -> DataFrame:
-    """doc rows with n_words, n_base, first_word, last_word, base labels; texts without a phrase cost one more scan only."""
-    count = lambda c: F.size(F.regexp_extract_all(c, F.lit(f"({WORD}+)"), 1)).cast("long")
-    any_phrase = f"(?i)(?<!{WORD})(?:" + "|".join(f"{GAP}+".join(p.split()) for p, _ in phrases) + f")(?!{WORD})"
-    seen = documents.withColumns({"n_words": count("__text"), "__any": F.col("__text").rlike(any_phrase)})
+def _words(text):
+    """The words of a text in lower case, by splitting at what no word holds; far cheaper than extracting them."""
+    return F.array_remove(F.split(text, f"{GAP}+"), "")
+
+
+def lowered(text):
+    """Lower case by the built-in function; the two letters outside ASCII that it would turn into ASCII ones give way first."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0101")), F.lit("\u0130"), F.lit("\u0101")))
+
+
+def tokenized(documents: DataFrame, phrases, vocabulary: list[str]) -> DataFrame:
+    """One pass over the texts: n_words, the places of phrases, and the lines that hold any word of a template.
+
+    A phrase is searched for only where all its words are somewhere in the text.
+    """
+    count = lambda c: F.size(_words(c)).cast("long")
+    low = documents.withColumn("__low", lowered(F.col("__text")))
+    lines = low.withColumn("__lines", F.transform(F.split("__low", "\n"), _words))
+    counted = lines.withColumn("n_words", F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.size(x)))
+
     def place(phrase: str, label: str):
         n = len(phrase.split())
         of = lambda p: F.struct((F.size(p) - 1).cast("long").alias("n"), count(F.get(p, F.lit(0))).alias("first"), (F.col("n_words") - count(F.get(p, F.size(p) - 1)) - n).alias("last"), F.lit(label).alias("label"))
-        return F.get(F.transform(F.array(F.split("__text", phrase_pattern(phrase))), of), F.lit(0))
-
-    places = [place(*p) for p in phrases]
-    found = seen.withColumn("__places", F.when(F.col("__any"), F.filter(F.array(*places), lambda x: x.n > 0)))
-    return found.withColumns(
-        {
-            "n_base": F.coalesce(F.aggregate("__places", F.lit(0).cast("long"), lambda a, x: a + x.n), F.lit(0).cast("long")),
-            "first_word": F.array_min(F.transform("__places", lambda x: x.first)),
-            "last_word": F.array_max(F.transform("__places", lambda x: x.last)),
-            "__base": F.coalesce(F.transform("__places", lambda x: x.label), F.expr("CAST(array() AS array<string>)")),
-        }
-    ).drop("__any", "__places")
-
-
-def blocks_of(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(row key, block, distinct words, words of the templates) of each line that holds any word of a template."""
-    lines = documents.select("__key", F.posexplode(F.split("__text", "\n")).alias("block", "__line"))
-    tokens = lines.withColumn("__words", F.array_distinct(F.transform(F.regexp_extract_all("__line", F.lit(f"({WORD}+)"), 1), lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))))
-    listed = F.array(*[F.lit(w) for w in vocabulary])
-    return tokens.select("__key", "block", F.size("__words").alias("n_tokens"), F.array_intersect("__words", listed).alias("tokens")).where(F.size("tokens") > 0)
-
+        near = F.lit(True)
+        for word in phrase.split():
+            near = near & F.contains("__low", F.lit(word))
+        return F.when(near, F.get(F.transform(F.array(F.split("__low", phrase_pattern(phrase))), of), F.lit(0)))
 
-def matches(documents: DataFrame, *, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(row key, block, template label, containment) of every block and template that meet the threshold."""
+    found = counted.withColumn("__places", F.filter(F.array(*[place(*p) for p in phrases]), lambda x: x.n > 0))
+    listed = F.array(*[F.lit(w) for w in vocabulary])
+    block = lambda words, i: F.struct(i.alias("block"), F.size(F.array_distinct(words)).alias("n_tokens"), F.array_intersect(words, listed).alias("tokens"))
+    return found.select(
+        "__key",
+        "n_words",
+        F.coalesce(F.aggregate("__places", F.lit(0).cast("long"), lambda a, x: a + x.n), F.lit(0).cast("long")).alias("n_base"),
+        F.array_min(F.transform("__places", lambda x: x.first)).alias("first_word"),
+        F.array_max(F.transform("__places", lambda x: x.last)).alias("last_word"),
+        F.coalesce(F.transform("__places", lambda x: x.label), F.expr("CAST(array() AS array<string>)")).alias("__base"),
+        F.filter(F.transform("__lines", block), lambda b: F.size(b.tokens) > 0).alias("__blocks"),
+    )
+
+
+def template_sets(templates) -> list[tuple[str, list[str]]]:
     sets = [(label, sorted(set(words_of(text)))) for label, text in templates]
-    sets = [(label, tokens) for label, tokens in sets if tokens]
     if sum(len(t) for _, t in sets) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
+    return [(label, tokens) for label, tokens in sets if tokens]
+
+
+def matches(blocks: DataFrame, sets: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
+    """(row key, block, template label, containment) of every block and template that meet the threshold."""
     vocabulary = sorted({w for _, t in sets for w in t})
-    blocks = cut(blocks_of(documents, vocabulary), "license-blocks")
     counts = dict(blocks.select(F.explode("tokens").alias("w")).groupBy("w").count().collect())  # a row per template word at most
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
@@ -93,7 +107,7 @@ def matches(documents: DataFrame, *, templates=TEMPLATES, threshold: float = 0.8
         tokens = sorted(tokens, key=rank.get)
         least = math.ceil(threshold * len(tokens) - 1e-9)
         rows += [(w, i, label, tokens, len(tokens), least) for i, w in enumerate(tokens[: len(tokens) - least + 1])]
-    spark = documents.sparkSession
+    spark = blocks.sparkSession
     prefixes = F.broadcast(spark.createDataFrame(rows, "w string, i int, label string, template array<string>, size int, least int"))  # bounded by MAX_TEMPLATE_WORDS
     ordered = blocks.withColumn("tokens", F.array_sort(F.transform("tokens", lambda w: F.struct(F.array_position(F.array(*[F.lit(x) for x in order]), w).alias("r"), w.alias("w")))))
     probes = ordered.select("__key", "block", "n_tokens", "tokens", F.posexplode("tokens").alias("j", "t")).select("*", F.col("t.w").alias("w")).join(prefixes, "w")
@@ -115,8 +129,11 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     need(documents, id_col, text_col)
     docs = documents.select(F.col(id_col).alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    found = matches(docs, templates=templates, threshold=threshold).groupBy("__key").agg(F.collect_set("label").alias("__labels"), F.max("containment").alias("__score"))
-    counted = base(docs, phrases).drop("__text")
+    sets = template_sets(templates)
+    counted = cut(tokenized(docs, phrases, sorted({w for _, t in sets for w in t})), "license-blocks")
+    blocks = counted.select("__key", F.explode("__blocks").alias("b")).select("__key", "b.*")
+    found = matches(blocks, sets, threshold).groupBy("__key").agg(F.collect_set("label").alias("__labels"), F.max("containment").alias("__score"))
+    counted = counted.drop("__blocks")
     none = F.expr("CAST(array() AS array<string>)")
     joined = counted.join(found, "__key", "left")
     return joined.select(
