@@ -1,0 +1,228 @@
+"""Translation of a text column: who is translated at all, from what language, by which model, and what came of it.
+
+Models are Translators and run in Arrow batches. Rows that need no model have a null input there, so no model sees them;
+an error becomes a row's status and never fails a task.
+"""
+
+from __future__ import annotations
+
+from abc import ABC, abstractmethod
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from verbaloom.functions import content, literals, segment
+
+STATUSES = ("translated", "unchanged", "unknown_source", "unsupported_source", "failed")
+RESULT = "struct<text:string,input_truncated:boolean,output_limit_reached:boolean,error:string,preservation:string,input_split:boolean>"
+
+
+class Translator(ABC):
+    """One model: names its languages and translates lists of texts."""
+
+    name: str = "model"
+    sources: tuple[str, ...] | None = None  # None: any
+    targets: tuple[str, ...] | None = None
+
+    @abstractmethod
+    def translate(self, texts: list[str], source: str | None, target: str) -> list[str]: ...
+
+    def supports(self, source: str | None, target: str) -> bool:
+        known = source is None and (self.sources is None or len(self.sources) == 1) or source is not None and (self.sources is None or source in self.sources)
+        return known and (self.targets is None or target in self.targets)
+
+
+@dataclass(frozen=True)
+class LetterSwap(Translator):
+    """A deterministic stand-in for weights: A-Z and a-z change case, and the target's code is appended."""
+
+    name: str = "letter-swap"
+    sources: tuple[str, ...] | None = None
+    targets: tuple[str, ...] | None = None
+    fail_on: str | None = None
+
+    def translate(self, texts: list[str], source: str | None, target: str) -> list[str]:
+        if self.fail_on is not None and any(self.fail_on in t for t in texts):
+            raise RuntimeError(f"cannot translate {self.fail_on}")
+        table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return [f"{t.translate(table)}:{target}" for t in texts]
+
+
+def guarded(model: Translator, texts: list[str], source: str | None, target: str) -> list[tuple[str, str | None]]:
+    """(text, error) of each; a batch that fails is halved until what fails stands alone and comes back as it was."""
+    try:
+        out = model.translate(texts, source, target)
+        if len(out) != len(texts):
+            raise ValueError(f"{len(out)} results for {len(texts)} texts")
+        return [(t, None) for t in out]
+    except Exception as e:  # noqa: BLE001  any model error is data here
+        if len(texts) <= 1:
+            return [(t, f"{type(e).__name__}: {e}") for t in texts]
+        half = len(texts) // 2
+        return guarded(model, texts[:half], source, target) + guarded(model, texts[half:], source, target)
+
+
+class Preserver:
+    """Translates around literals: placeholders first, and the prose between literals where one got lost."""
+
+    def __init__(self, run, finder: literals.Finder) -> None:
+        self.run, self.finder = run, finder
+
+    def piecewise(self, texts: list[str], spans: list[list]) -> list[tuple[str, str | None, str]]:
+        cut, jobs = [], []
+        for t, found in zip(texts, spans, strict=True):
+            parts, at = [], 0
+            for a, b, _ in found:
+                parts += [[t[at:a], False], [t[a:b], True]]
+                at = b
+            parts.append([t[at:], False])
+            cut.append(parts)
+            jobs += [p for p in parts if not p[1] and any(c.isalpha() for c in p[0])]
+        errors: dict[int, str] = {}
+        for p, (out, error) in zip(jobs, self.run([p[0].strip() for p in jobs]) if jobs else [], strict=True):
+            body = p[0].strip()
+            lead = p[0].index(body)
+            if error:
+                errors[id(p)] = error
+            p[0] = p[0][:lead] + out + p[0][lead + len(body) :]
+        result = []
+        for t, parts in zip(texts, cut, strict=True):
+            failed = next((errors[id(p)] for p in parts if id(p) in errors), None)
+            result.append((t, failed, "segments") if failed else ("".join(p[0] for p in parts), None, "segments"))
+        return result
+
+    def translate(self, texts: list[str]) -> list[tuple[str, str | None, str | None]]:
+        import re
+
+        spans = [self.finder.spans(t) for t in texts]
+        masked, stems = [], []
+        for t, found in zip(texts, spans, strict=True):
+            stem = next((s for s in literals.STEMS if s.lower() not in t.lower()), None)
+            out, at = [], 0
+            for i, (a, b, _) in enumerate(found):
+                out += [t[at:a], " " * (a > 0 and t[a - 1].isalnum()), f"{stem}{i}", " " * (b < len(t) and t[b].isalnum())]
+                at = b
+            masked.append("".join(out) + t[at:] if stem and found else None)
+            stems.append(stem)
+        first = [i for i, found in enumerate(spans) if masked[i] is not None or not found]
+        results: list = [None] * len(texts)
+        again = [i for i, found in enumerate(spans) if found and masked[i] is None]
+        for i, (out, error) in zip(first, self.run([texts[i] if masked[i] is None else masked[i] for i in first]) if first else [], strict=True):
+            if error:
+                results[i] = (texts[i], error, None)
+            elif masked[i] is None:
+                results[i] = (out, None, None)
+            elif sorted(re.findall(rf"{stems[i]}(\d+)", out)) != sorted(str(k) for k in range(len(spans[i]))):
+                again.append(i)
+            else:
+                for k, (a, b, _) in enumerate(spans[i]):
+                    t = texts[i]
+                    left = " ?" if a > 0 and t[a - 1].isalnum() else ""
+                    right = " ?" if b < len(t) and t[b].isalnum() else ""
+                    out = re.sub(rf"{left}{stems[i]}{k}(?!\d){right}", lambda _, v=t[a:b]: v, out, count=1)
+                results[i] = (out, None, "placeholders")
+        for i, r in zip(again, self.piecewise([texts[i] for i in again], [spans[i] for i in again]), strict=True):
+            results[i] = r
+        return results
+
+
+def model_column(model: Translator, text: Column, source: Column, target: str, *, preserve=True, keep=(), batch_size: int = 32) -> Column:
+    """The model's struct for texts that aren't null; sources are grouped within an Arrow batch."""
+    kinds, patterns = literals.chosen_kinds(preserve), literals.keep_patterns(keep)
+
+    @F.pandas_udf(RESULT)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        finder = None if kinds is None else literals.Finder(kinds, patterns)
+        for texts, sources in batches:
+            rows: list = [(None, None, None)] * len(texts)
+            some = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: (sources.iloc[i] or "", len(texts.iloc[i])))
+            while some:
+                source = sources.iloc[some[0]]
+                part = [i for i in some[:batch_size] if sources.iloc[i] == source or source is None and sources.iloc[i] is None]
+                some = some[len(part) :]
+                call = lambda ts, s=source: guarded(model, ts, s, target)
+                asked = [texts.iloc[i] for i in part]
+                out = [(t, e, None) for t, e in call(asked)] if finder is None else Preserver(call, finder).translate(asked)
+                for i, r in zip(part, out, strict=True):
+                    rows[i] = r
+            yield pd.DataFrame({"text": [r[0] for r in rows], "input_truncated": False, "output_limit_reached": False, "error": [r[1] for r in rows], "preservation": [r[2] for r in rows], "input_split": False})
+
+    return run(text, source)
+
+
+@dataclass(frozen=True)
+class Translation:
+    """Adds result, status, error and source columns to a DataFrame.
+
+    source: a code for all rows; or a column of detections (struct<language, status, ...>) in ISO 639-3 with part3, the
+    ISO 639-3 code of each source the model reads.
+    """
+
+    model: Translator
+    target: str
+    preserve: bool | tuple[str, ...] = True
+    keep: tuple = ()
+    unknown_source: str = "keep"
+
+    def __post_init__(self) -> None:
+        if self.unknown_source not in ("keep", "fallback", "raise"):
+            raise ValueError("unknown_source is keep, fallback or raise")
+
+    def translate(self, df: DataFrame, text_col: str, result_col: str, *, source: str | None = None, detection: Column | None = None, codes: dict[str, str] | None = None, id_col: str | None = None, dedupe: bool = False) -> DataFrame:
+        """Null texts are null in every output. Blank ones, and those already in the target language, are unchanged."""
+        text = F.col(text_col)
+        if detection is None:
+            found, why = F.lit(source), F.lit(None).cast("string")
+            if source != self.target and not self.model.supports(source, self.target):
+                raise ValueError(f"{self.model.name} doesn't translate {source} to {self.target}")
+            same = F.lit(source == self.target)
+        else:
+            from itertools import chain
+
+            codes = codes or {}
+            known = F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(codes.items())]), detection.language)
+            readable = known.isin(*[c for c in codes.values() if self.model.supports(c, self.target)] or [""])
+            same = (known == self.target) | (detection.language == "zxx")
+            unknown = detection.language == "und"
+            fallback = self.unknown_source == "fallback" and self.model.supports(None, self.target)
+            why = F.when(unknown & ~F.lit(fallback), "unknown_source").when(~unknown & ~F.coalesce(readable, F.lit(False)), "unsupported_source")
+            found = F.when(~unknown, known)
+            if self.unknown_source == "raise":
+                why = F.when(unknown & ~content.is_blank(text), F.raise_error(F.concat(F.lit("no source language for row "), F.col(id_col).cast("string") if id_col else F.lit("?")))).otherwise(why)
+        still = content.is_blank(text) | F.coalesce(same, F.lit(False))
+        status = F.when(text.isNull(), F.lit(None)).when(still, "unchanged").when(why.isNotNull(), why)
+        marked = df.withColumns({"_status": status, "_source": found})
+        asked = F.when(text.isNotNull() & F.col("_status").isNull(), text)
+        if dedupe:  # each distinct text and source is translated once
+            jobs = marked.select(asked.alias("_asked"), F.col("_source").alias("_from")).where("_asked IS NOT NULL").distinct()
+            jobs = jobs.withColumn("_out", model_column(self.model, F.col("_asked"), F.col("_from"), self.target, preserve=self.preserve, keep=self.keep))
+            marked = marked.withColumn("_asked_here", asked)
+            done = marked.join(jobs, (F.col("_asked_here") == F.col("_asked")) & F.col("_source").eqNullSafe(F.col("_from")), "left").drop("_asked", "_from", "_asked_here")
+        else:
+            done = marked.withColumn("_out", model_column(self.model, asked, F.col("_source"), self.target, preserve=self.preserve, keep=self.keep))
+        ran = F.col("_out.text").isNotNull()
+        final = F.when(text.isNull(), F.lit(None)).when(ran & F.col("_out.error").isNotNull(), "failed").when(ran, "translated").otherwise(F.col("_status"))
+        return done.withColumns(
+            {
+                result_col: F.when(final == "failed", F.lit(None)).when(ran, F.col("_out.text")).otherwise(text),
+                f"{result_col}_status": final,
+                f"{result_col}_error": F.when(ran, F.col("_out.error")),
+                f"{result_col}_source": F.when(text.isNotNull(), F.col("_source")),
+                f"{result_col}_preservation": F.when(ran, F.col("_out.preservation")),
+            }
+        ).drop("_out", "_status", "_source")
+
+
+def distinct_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, position, sentence): the sentences of each text; distinct() over them is what a model has to see."""
+    cut = df.select(id_col, segment.split_sentences(F.col(text_col)).alias("s"))
+    return cut.select(id_col, F.posexplode("s.sentences").alias("position", "sentence"))
+
+
+def gather_sentences(sentences: DataFrame, translated: DataFrame, id_col: str) -> DataFrame:
+    """(id, sentences): translations of distinct sentences back in each text's order."""
+    joined = sentences.join(translated, "sentence")
+    return joined.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "translation"))), lambda x: x.translation).alias("sentences"))
