@@ -110,7 +110,8 @@ def phrases_of(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     heads = np.flatnonzero(head)
     n = np.diff(np.append(heads, len(starts)))
     first, row = starts[heads], owner[heads]
-    return low[first], B.span_hashes(sums, first, first + n + window - 1), row, first - offsets[row], n
+    # Smallest hashes crowd near 0; mixed once more they deal evenly.
+    return B.mix(low[first]), B.span_hashes(sums, first, first + n + window - 1), row, first - offsets[row], n
 
 
 def first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
