@@ -41,6 +41,8 @@ class NgramModel:
 
     def scores(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, language, axis, score): summed log-probabilities of known trigrams plus the prior, for every row of df."""
+        if not self.languages:
+            raise ValueError("the model was trained on no labelled rows")
         found = counts(df, id_col, text_col).join(self.weights, "gram")
         sums = found.groupBy(id_col).agg(*[F.sum(F.col("n") * F.col("logp")[i]).alias(f"s{i}") for i in range(len(self.languages))])
         wide = df.select(id_col).distinct().join(sums, id_col, "left")
@@ -64,7 +66,8 @@ def train(df: DataFrame, text_col: str, label_col: str) -> NgramModel:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
     names = tuple(r.language for r in sizes)
     grams = labelled.select("language", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n"))
-    wide = grams.groupBy("gram").agg(*[F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(names)]).persist()
+    by_language = [F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(names)]
+    wide = grams.groupBy("gram").agg(F.sum("n").alias("n"), *by_language).persist()
     totals = wide.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(names))]).first()
     v = totals.v or 0
     logs = [F.log((F.col(f"n{i}") + 1.0) / F.lit(float((totals[f"t{i}"] or 0) + v or 1))) for i in range(len(names))]
