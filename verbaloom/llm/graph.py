@@ -23,10 +23,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = large.join(down, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         after = cut(small, "links")
         # Done when each node hangs on one smaller node that itself hangs on none.
-        state = after.groupBy("v").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first().most
-        loose = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+        twice = after.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("v").alias("x"))
+        hanging = after.select(F.col("u").alias("x")).join(after.select(F.col("v").alias("x")), "x", "left_semi")
         links = after
-        if state <= 1 and loose:
+        if twice.unionAll(hanging).isEmpty():
             break
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")

@@ -257,35 +257,44 @@ def shingle_sets(documents: DataFrame, *, id_col: str, text_col: str, k: int, th
 def find_links(sets: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of the classes that link with another; nodes are the smallest ids of the classes."""
     nodes = cut(sets.where("probes IS NOT NULL").select("doc_id", "n", F.col("n_shared").alias("m"), "tokens", "held"), "jaccard-nodes")
-    lists = sets.where("probes IS NOT NULL").select("doc_id", "n", F.explode("probes").alias("token"))
+    lists = sets.where("probes IS NOT NULL").select("doc_id", "n", F.col("n_shared").alias("m"), F.posexplode("probes").alias("i", "token"))
+    lists = lists.select("doc_id", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("at"), "token")
+    # What two sets of these sizes have to share, and so how far into either the first shared shingle can lie.
+    overlap = lambda a, b: F.ceil(threshold * (a + b) / (100 + threshold))
     many = Window.partitionBy("token")
     lists = cut(lists.withColumn("size", F.count(F.lit(1)).over(many)).where("size > 1").drop("size"), "jaccard-lists")
     labels = links = tested = None
     for turn in range(MAX_ROUNDS):
-        if turn == 0:
+        if labels is None:
             state = lists.withColumn("c", F.col("doc_id"))
         else:
-            state = lists.join(labels, lists.doc_id == labels.node, "left").select("doc_id", "n", "token", F.coalesce("component", "doc_id").alias("c"))
-        spread = state.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-        state = state.join(spread, "token")
-        # Pivots: members of the components with the fewest members in the list, more of them each round.
-        sized = state.groupBy("token", "c").agg(F.count(F.lit(1)).alias("members"))
-        ranked = state.join(sized, ["token", "c"]).withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("members", "c", "doc_id")))
-        ranked = cut(ranked.select("token", "doc_id", "n", "c", "r"), "jaccard-state")
+            state = lists.join(labels, lists.doc_id == labels.node, "left").select("doc_id", "n", "m", "at", "token", F.coalesce("component", "doc_id").alias("c"))
+        by = Window.partitionBy("token")
+        state = state.withColumn("least", F.greatest(F.min("n").over(by), F.ceil(threshold * F.col("n") / 100)))
+        # Two sets share at most what either shares with any other, and the first shared shingle comes early in both.
+        state = state.where((F.col("m") >= overlap(F.col("n"), F.col("least"))) & (F.col("at") <= F.col("n") - overlap(F.col("n"), F.col("least"))))
+        state = state.withColumns({"low": F.min("c").over(by), "high": F.max("c").over(by), "members": F.count(F.lit(1)).over(Window.partitionBy("token", "c"))}).where("low < high")
+        # Pivots: members of the components with the fewest members in the list, more of them each round; first those with
+        # the smallest share of shingles of their own, as the original of many copies has.
+        ranked = state.withColumn("r", F.row_number().over(by.orderBy("members", F.col("n") / F.col("m"), "c", "doc_id")))
+        ranked = cut(ranked.select("token", "doc_id", "n", "m", "at", "c", "r"), "jaccard-state")
         if ranked.isEmpty():
             break
-        pivots = ranked.where(F.col("r") <= 4**turn).select("token", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp"))
-        pairs = ranked.join(pivots, "token").where((F.col("c") != F.col("cp")) & (100 * F.least("n", "np") >= threshold * F.greatest("n", "np")))
+        pivots = ranked.where(F.col("r") <= 4**turn).select("token", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("m").alias("mp"), F.col("at").alias("ap"), F.col("c").alias("cp"))
+        need_both = overlap(F.col("n"), F.col("np"))
+        reach = (F.least("m", "mp") >= need_both) & (F.col("at") <= F.col("n") - need_both) & (F.col("ap") <= F.col("np") - need_both)
+        pairs = ranked.join(pivots, "token").where((F.col("c") != F.col("cp")) & (100 * F.least("n", "np") >= threshold * F.greatest("n", "np")) & reach)
         pairs = pairs.select(F.least("doc_id", "p").alias("x"), F.greatest("doc_id", "p").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs, "jaccard-pairs")
         side = lambda s: nodes.select(F.col("doc_id").alias(s), *[F.col(a).alias(b + s) for a, b in (("n", "n"), ("m", "m"), ("tokens", "t"), ("held", "h"))])
         found = cut(pairs.join(side("y"), "y").join(side("x"), "x").mapInArrow(verify_fn(threshold), "x long, y long"), "jaccard-links")
-        tested = pairs if tested is None else cut(tested.unionAll(pairs), "jaccard-tested")
+        tested = pairs if tested is None else tested.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
-        labels = cut(components(links, "x", "y"), "jaccard-labels")
-        lists = ranked.where(F.col("r") > 4**turn).select("doc_id", "n", "token")
+        if not found.isEmpty():
+            labels = cut(components(links, "x", "y"), "jaccard-labels")
+        lists = ranked.where(F.col("r") > 4**turn).select("doc_id", "n", "m", "at", "token")
     else:
         raise RuntimeError(f"lists still span components after {MAX_ROUNDS} rounds")
     if labels is None:
