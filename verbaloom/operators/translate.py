@@ -30,6 +30,15 @@ class Translator(ABC):
     @abstractmethod
     def translate(self, texts: list[str], source: str | None, target: str) -> list[str]: ...
 
+    def validate(self, source: str | None, target: str) -> None:
+        """Raises for a target it doesn't write, then for a source it has to know, then for one it doesn't read."""
+        if self.targets is not None and target not in self.targets:
+            raise ValueError(f"{self.name} doesn't write {target}")
+        if source is None and self.sources is not None and len(self.sources) != 1:
+            raise ValueError(f"{self.name} has to know the source language")
+        if source is not None and self.sources is not None and source not in self.sources:
+            raise ValueError(f"{self.name} doesn't read {source}")
+
     def supports(self, source: str | None, target: str) -> bool:
         known = source is None and (self.sources is None or len(self.sources) == 1) or source is not None and (self.sources is None or source in self.sources)
         return known and (self.targets is None or target in self.targets)
@@ -176,8 +185,8 @@ class Translation:
         text = F.col(text_col)
         if detection is None:
             found, why = F.lit(source), F.lit(None).cast("string")
-            if source != self.target and not self.model.supports(source, self.target):
-                raise ValueError(f"{self.model.name} doesn't translate {source} to {self.target}")
+            if source != self.target:
+                self.model.validate(source, self.target)
             same = F.lit(source == self.target)
         else:
             from itertools import chain

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from verbaloom.functions import content
 from verbaloom.operators.detect import BatchDetector, LanguageDetection
+from verbaloom.operators.translate import Translation
 
 
 def read_rows(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -28,6 +29,13 @@ def detect_stream(stream: DataFrame, id_col: str, text_col: str, detection: Lang
     return detection.detect(stream, id_col, text_col)
 
 
+def translate_stream(stream: DataFrame, text_col: str, result_col: str, translation: Translation, **options) -> DataFrame:
+    """Row by row, so without the join that dedupe would need; an error is its row's status and the stream goes on."""
+    if options.get("dedupe"):
+        raise ValueError("a stream is translated row by row; dedupe needs a whole table")
+    return translation.translate(stream, text_col, result_col, **options)
+
+
 def label_counts(stream: DataFrame, label: str) -> DataFrame:
     """Rows per label so far; for complete or update mode."""
     return stream.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
