@@ -70,6 +70,14 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or something like it that no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def ascii_lower(col):
     """A-Z only, whatever the locale; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,7 +9,6 @@ The test set never has to fit one task: it is read in blocks of bounded size, ea
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import need
+from .common import free_name, need
 
 #: Test bytes in a block, so at most 65,535 different words, and what one broadcast holds.
 BLOCK_BYTES = 256 << 10
@@ -195,9 +194,7 @@ def digest(matches: DataFrame, min_items: int = 2) -> DataFrame:
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, *, min_items: int = 2, **options) -> DataFrame:
     """The documents that meet fewer than min_items items, all columns as they came; rows with a null id stay."""
     id_col = options.get("id_col", "doc_id")
-    bad = digest(find_matches(documents, benchmark, **options), min_items).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, documents[id_col].cast("long") == F.col("__bad"), "left_anti")
+    name = free_name(documents, "__bad")
+    bad = digest(find_matches(documents, benchmark, **options), min_items).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(bad, documents[id_col].cast("long") == F.col(name), "left_anti")
 
-
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import cut, need
+from .common import cut, free_name, need
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -323,5 +323,6 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 def keep_first(documents: DataFrame, **options) -> DataFrame:
     """One document of each class: the one with the smallest id; rows with a null id stay. Columns as they came."""
     id_col = options.get("id_col", "doc_id")
-    later = link_documents(documents, **options).where("component_id != doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    return documents.join(later, documents[id_col].cast("long") == F.col("__later"), "left_anti")
+    name = free_name(documents, "__later")
+    later = link_documents(documents, **options).where("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(later, documents[id_col].cast("long") == F.col(name), "left_anti")

@@ -186,7 +186,6 @@ def ingest(documents: DataFrame, path: str, *, arrivals: int = 4, id_col: str =
 
 
 def placement(store: ShardStore) -> DataFrame:
-    """All rows of the latest version with shard (its file's name), shard_bytes and version."""
+    """All rows of the latest version with shard (its file's name), shard_bytes and version, in place of columns so called."""
     version = store.version()
-    rows = store.read(version)
-    return rows.select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"))
+    return store.read(version).withColumns({"shard": F.col("_metadata.file_name"), "shard_bytes": F.col("_metadata.file_size"), "version": F.lit(version)})
