@@ -21,6 +21,7 @@ MIN_LINES = 2
 def _shared(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     """The rows whose keys occur twice or more, with the first place of these keys as their new rank."""
     first = rows.groupBy(*keys).agg(F.min(F.struct("__id", "__row", "line")).alias("rank"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = cut(first, "line-first")  # read back, both sides of the join are plain exchanges, which Spark splits at a frequent line
     return cut(rows.join(first, keys).select("__id", "__row", "line", "rank"), label)
 
 
