@@ -314,7 +314,9 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, group_pieces: int =
     pieces = cut(pieces_of(documents, capacity=capacity, **options).withColumn("__key", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
     histogram = {int(r.length): r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     plan = make_plan(histogram, capacity, rounds)
-    salts = max(1, -(-sum(histogram.values()) // group_pieces))
+    total = sum(histogram.values())
+    # At least as many groups as tasks, so a frequent length is ranked by all of them.
+    salts = max(1, -(-total // group_pieces), min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 500))
     salted = pieces.withColumn("__salt", F.pmod("__key", F.lit(salts)))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")).withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
