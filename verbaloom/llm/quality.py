@@ -25,6 +25,8 @@ COMMON_WORDS = {
 }
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
+OTHER = r"[^\p{L}\p{Nd}#*$%&|<>\x20\x09-\x0D]"
+LONGEST = max(len(w) for words in COMMON_WORDS.values() for w in words)
 
 #: A sample of n words has a distance of some noise / sqrt(n) to its own source; that much is granted to every text.
 DEFAULTS = {"min_words": 60, "max_char_distance": 0.15, "max_word_distance": 0.05, "word_noise": 3.2, "min_reference_docs": 20}
@@ -64,15 +66,14 @@ def features(documents: DataFrame, *, text_col: str = "text", lang_col: str = "l
             "__lines": F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             "n_repeat_words": F.expr(_repeat_words()),
             "__upper": F.regexp_count("__text", F.lit(r"\p{Lu}")).cast("long"),
-            "__letters": F.regexp_count("__text", F.lit(r"\p{L}")).cast("long"),
-            "__digits": F.regexp_count("__text", F.lit(r"\p{Nd}")).cast("long"),
-            "__common": F.expr(_let(common, "c", "filter(transform(words, w -> array_position(c, lower(w))), i -> i > 0)")),
+            "__other": F.regexp_count("__text", F.lit(OTHER)).cast("long"),  # rare, so far cheaper to count than letters
+            "__common": F.expr(_let(common, "c", f"filter(transform(filter(words, w -> length(w) <= {LONGEST}), w -> array_position(c, lower(w))), i -> i > 0)")),
         }
     )
     histograms = counted.withColumns(
         {
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "char_bins": F.array(F.col("__letters") - F.col("__upper") + F.col("__digits"), "__upper", "n_symbols", F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("__letters") - F.col("__digits") - F.col("n_symbols"))),
+            "char_bins": F.array(F.col("word_chars") - F.col("__upper") - F.col("n_symbols") - F.col("__other"), "__upper", "n_symbols", "__other"),
             "word_bins": F.when(F.col("__common").isNotNull(), F.array(*[(F.size("__common") - F.size(F.array_remove("__common", F.lit(k).cast("long")))).cast("long") for k in range(1, bins + 1)], F.col("n_words") - F.size("__common"))),
         }
     )
