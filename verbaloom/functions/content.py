@@ -42,13 +42,11 @@ def is_literal_token(token: Column) -> Column:
     return token.rlike(f"^(?:{LITERAL_TOKEN})\\z")
 
 
-def token_letters(token: Column) -> Column:
-    """Letters of a token; none if it is a literal."""
-    return F.when(is_literal_token(token), F.lit(0)).otherwise(F.length(F.regexp_replace(token, r"\P{L}+", "")))
-
-
 def letter_count(text: Column) -> Column:
-    return F.aggregate(tokens(text), F.lit(0), lambda n, t: n + token_letters(t))
+    """All letters, less those of literal tokens; every literal holds a full stop or ://, so few tokens are looked at."""
+    letters = lambda x: F.length(F.regexp_replace(x, r"\P{L}+", ""))
+    near = F.filter(tokens(text), lambda t: (F.contains(t, F.lit(".")) | F.contains(t, F.lit("://"))) & is_literal_token(t))
+    return letters(text_or_empty(text)) - F.aggregate(near, F.lit(0), lambda n, t: n + letters(t))
 
 
 def has_linguistic_content(text: Column) -> Column:
