@@ -101,6 +101,22 @@ def test_messages_agree_with_enumeration():
         assert np.allclose(got[i], want / want.sum(), atol=1e-6)
 
 
+def test_far_repeats_carry_labels():
+    field = pii.Field({}, np.zeros((2, 5)), np.zeros((5, 5)), 4.0 * np.eye(5))
+    field.weights[1, 0] = 1.0  # without an edge a token is nothing
+    text = "call +15555550100 now, or ask at the desk for 15555550100 again"
+    at = text.rindex("15555550100")
+    assert pii.added_spans(field, [text], [pii.base_spans(text)], 0.5) == [[(at, 3, at + 11)]]
+
+    def edges(text):
+        nodes = pii.Nodes()
+        nodes.add(0, text, [], pii.tokens_near(text))
+        return nodes.chain, sorted(set(nodes.skip))
+
+    assert edges("x1 x1 and then x1") == ([(0, 1)], [(1, 2)])
+    assert edges("x1 a b c x1 y2 x1") == ([(1, 2), (2, 3)], [(0, 1), (1, 3)])
+
+
 def test_jaccard(docs, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs).collect()}
     assert got == plain.components(rows)

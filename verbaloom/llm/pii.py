@@ -132,12 +132,13 @@ class Nodes:
             self.doc.append(doc)
             self.start.append(start)
             self.end.append(end)
-            if before is not None:
-                self.chain.append((before, n))
+            chained = before  # the variable that a chain edge joins to this one, if any
+            if chained is not None:
+                self.chain.append((chained, n))
             before = n
             keys = ["t" + token.lower()] + (["d" + digits] if len(digits) >= 7 and digits != token else [])
             for key in {*keys, *(["d" + token] if digits == token and len(digits) >= 7 else [])}:
-                if key in last and last[key] != before - 1:
+                if key in last and last[key] != chained:
                     self.skip.append((last[key], n))
                 last[key] = n
 
