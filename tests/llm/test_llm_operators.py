@@ -310,6 +310,24 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.digest(none).where("n_items > 0").isEmpty() and none.count() == len(rows)
 
 
+def test_decontamination_by_row_at_any_block_size(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 12, 10**6) for _ in range(3))
+    rows = [(1, f"x {a} y"), (1, f"{b} z z"), (1, f"x {a} y"), (2, f"{a} {b}"), (2, "plain words"), (None, f"x {b} {c}"), (None, "nothing here"), (None, None), (3, f"{c} and {a}")]
+    items = [("i", a), ("i", a), ("j", b), ("i", c), ("j", "no match of any row at all in this item"), (None, "x y")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    want = sorted([(i, *plain.contamination([(0, t)], items)[0]) for i, t in rows], key=repr)
+    for block in (1 << 18, 100, 1):
+        found = decontaminate.find_matches(docs, bench, block_bytes=block)
+        got = decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert sorted(map(tuple, got.collect()), key=repr) == want, block
+        whole = sorted(map(repr, map(tuple, found.collect())))
+        first = whole if block == 1 << 18 else first
+        assert whole == first, block
+        left = decontaminate.remove_contaminated(docs, bench, block_bytes=block)
+        assert sorted(map(tuple, left.collect()), key=repr) == sorted([x for x in rows if x[0] in (1, None, 3)], key=repr), block
+
+
 def page(url, *tags):
     return (url, "<html>" + "".join(tags) + "</html>")
 

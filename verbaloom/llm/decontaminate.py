@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import free_name, need
+from .common import cut, free_name, need
 
 #: Test bytes in a block, so at most 65,535 different words, and what one broadcast holds.
 BLOCK_BYTES = 256 << 10
@@ -110,8 +110,8 @@ def longest(place: np.ndarray, length: np.ndarray, item: np.ndarray, at: np.ndar
 def scan_block(block: TestBlock):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for low, high, data, offsets in B.slabs(batch.column(1)):
+            keys = [c for c in batch.schema.names if c != "text"]
+            for low, high, data, offsets in B.slabs(batch.column("text")):
                 counts, firsts, place, length, item, at = search(block, data, offsets)
                 row = np.searchsorted(firsts, place, side="right") - 1
                 hit = B.covered(place, place + length, int(counts.sum()))
@@ -124,10 +124,11 @@ def scan_block(block: TestBlock):
                 pairs = np.unique(np.stack([row, item], axis=1), axis=0) if len(row) else np.empty((0, 2), int)
                 for r, i in pairs.tolist():
                     items[r].append(block.names[i])
+                items = [list(dict.fromkeys(x)) for x in items]
                 tops = [None if (b := best.get(r)) is None else {"item": block.names[b[0]], "start": b[1] - int(firsts[r]), "length": b[2]} for r in range(high - low)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(tops, pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))],
-                    names=["doc_id", "n_words", "ranges", "items", "best"],
+                    [*[batch.column(c).slice(low, high - low).cast(pa.int64()) for c in keys], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(tops, pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))],
+                    names=[*keys, "n_words", "ranges", "items", "best"],
                 )
 
     return scan
@@ -157,19 +158,22 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     need(documents, id_col, text_col)
     need(benchmark, item_col, item_text_col)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [docs.mapInArrow(scan_block(TestBlock(b, window)), SCHEMA) for b in blocks_of(benchmark, item_col, item_text_col, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+    blocks = [TestBlock(b, window) for b in blocks_of(benchmark, item_col, item_text_col, block_bytes)]
+    if len(blocks) == 1:
+        return docs.mapInArrow(scan_block(blocks[0]), SCHEMA)
+    # Each block sees each row; what they found meets by a key of the row, written so that all blocks see the same one.
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "contamination-rows")
+    parts = [rows.mapInArrow(scan_block(b), SCHEMA.replace("doc_id long,", "doc_id long, __row long,")).withColumn("__block", F.lit(k)) for k, b in enumerate(blocks)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    # Each block has seen each document; what they found meets by document. Rows that repeat an id merge here.
-    merged = out.groupBy("doc_id").agg(
+    merged = out.groupBy("__row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("ranges")).alias("ranges"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.max_by("best", F.struct(F.col("best.length"), -F.col("best.start"))).alias("best"),
-    )
+        F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.struct("__block", "items"))).getField("items"))).alias("items"),
+        F.max_by("best", F.struct(F.col("best.length"), -F.col("best.start"), -F.col("__block"))).alias("best"),
+    ).drop("__row")
     pairs = "transform(sequence(0, size(ranges) - 2, 2), i -> struct(ranges[i] AS s, ranges[i + 1] AS e))"
     fold = f"aggregate(array_sort({pairs}), array(), (a, x) -> IF(size(a) > 0 AND a[size(a) - 1] >= x.s, concat(slice(a, 1, size(a) - 1), array(greatest(a[size(a) - 1], x.e))), concat(a, array(x.s, x.e))))"
     fold = fold.replace("array(), (a, x)", "CAST(array() AS array<bigint>), (a, x)")
