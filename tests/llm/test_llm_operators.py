@@ -328,6 +328,15 @@ def test_decontamination_by_row_at_any_block_size(spark):
         assert sorted(map(tuple, left.collect()), key=repr) == sorted([x for x in rows if x[0] in (1, None, 3)], key=repr), block
 
 
+def test_decontamination_by_an_item_of_many_words(spark):
+    long = [f"v{i}" for i in range(70_000)]
+    rows = [(0, " ".join(long[40_000:40_030])), (1, "a b c d e f g h"), (2, " ".join(["x", *long[-9:], *long[:8], "y"])), (3, " ".join(long[:7]))]
+    items = [("long", " ".join(long)), ("short", "a b c"), ("other", " ".join(long[-8:]))]
+    found = decontaminate.find_matches(table(spark, rows), spark.createDataFrame(items, "item_id string, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(found).collect()}
+    assert got == plain.contamination(rows, items) and [got[i][1] for i in range(4)] == [30, 3, 17, 0]
+
+
 def page(url, *tags):
     return (url, "<html>" + "".join(tags) + "</html>")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import cut, free_name, need
 
-#: Test bytes in a block, so at most 65,535 different words, and what one broadcast holds.
+#: Test bytes in a block, unless one item alone is longer, and what one broadcast holds.
 BLOCK_BYTES = 256 << 10
 
 SCHEMA = "doc_id long, n_words long, ranges array<long>, items array<string>, best struct<item:string,start:long,length:long>"
@@ -38,8 +38,7 @@ class TestBlock:
             owners.append(rows + low)
         h, own = np.concatenate(hashes), np.concatenate(owners)
         self.vocabulary = np.unique(h)
-        if len(self.vocabulary) > 65_535:
-            raise ValueError("a block of test items has too many different words")
+        self.id_type = ">u2" if len(self.vocabulary) <= 65_535 else ">u4"
         ids = np.searchsorted(self.vocabulary, h) + 1
         counts = np.bincount(own, minlength=len(items))
         first = np.cumsum(counts) - counts
@@ -49,17 +48,17 @@ class TestBlock:
             n = counts[takes] - m + 1
             at = B.ranges(first[takes], n)
             item = np.repeat(takes, n)
-            keys = keys_of(ids, at, m)
+            keys = keys_of(ids, at, m, self.id_type)
             order = np.argsort(keys, kind="stable")
             self.by_length[m] = keys[order], item[order], (at - first[item])[order]
 
 
-def keys_of(ids: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+def keys_of(ids: np.ndarray, at: np.ndarray, m: int, id_type: str) -> np.ndarray:
     """Big-endian keys whose byte order is the order of the word sequences."""
-    out = np.empty((len(at), m), dtype=">u2")
+    out = np.empty((len(at), m), dtype=id_type)
     for j in range(m):
         out[:, j] = ids[at + j]
-    return out.view(f"S{2 * m}").ravel()
+    return out.view(f"S{out.itemsize * m}").ravel()
 
 
 def search(block: TestBlock, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +78,7 @@ def search(block: TestBlock, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
             suffixes = np.flatnonzero((known[m:] - known[:-m] == m) & (rows[m - 1 :] == rows[: len(rows) - m + 1]))
             if not len(suffixes):
                 continue
-            own = keys_of(ids, suffixes, m)
+            own = keys_of(ids, suffixes, m, block.id_type)
             order = np.argsort(own, kind="stable")  # the shard's suffix array
             own, suffixes = own[order], suffixes[order]
             low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
