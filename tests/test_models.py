@@ -11,6 +11,7 @@ import pytest
 from verbaloom import cli
 from verbaloom.operators import seq2seq
 from verbaloom.operators.detect import BatchDetector, LanguageDetection
+from verbaloom.operators.translate import LetterSwap, Outcome, Translation
 from verbaloom.sources import fasttext_file, langid_file
 
 WORDS = ["the", "of", "der", "und"]
@@ -161,6 +162,36 @@ def test_greedy_translation():
     assert seq2seq.Seq2Seq(Letters(), "letters").outcomes(["a~"], "en", "es")[0].limit_reached
 
 
+@pytest.mark.parametrize("preserve", [False, True])
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_flags_reach_the_columns(spark, preserve, dedupe):
+    long, endless, clauses = "a" * 60, "a~", "word, " * 9 + "end"
+    texts = [None, " ", "ab.", long, endless, clauses, f"{long} https://site.org/x", f"12 {endless}", f"zxq qzx https://site.org/x {long}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    flags = ("out_input_truncated", "out_output_limit_reached", "out_input_split")
+
+    def run(**options):
+        model = seq2seq.Seq2Seq(Letters(), "letters", **options)
+        out = Translation(model, "es", preserve=preserve).translate(df, "text", "out", source="en", dedupe=dedupe)
+        return {r.id: (r.out_status, *[r[f] for f in flags]) for r in out.collect()}
+
+    cut, split, plain = run(truncate=True), run(split_long=True), run()
+    assert cut[0] == (None, None, None, None) and cut[1] == ("unchanged", False, False, False)
+    assert cut[2] == ("translated", False, False, False) and cut[3] == ("translated", True, False, False)
+    assert cut[4] == ("translated", False, True, False) and split[5] == ("translated", False, False, True)
+    assert cut[6][1] and cut[7][2] and cut[8][1] and plain[3] == ("failed", False, False, False)
+
+
+def test_flags_survive_placeholders(spark):
+    class Flagged(LetterSwap):
+        def outcomes(self, texts, source, target):
+            return [Outcome(t, truncated=True, split=True) for t in texts]
+
+    out = Translation(Flagged(), "es").translate(spark.createDataFrame([("see https://site.org/x",)], "text string"), "text", "out", source="en").first()
+    assert (out.out, out.out_preservation) == ("see https://site.org/x", "placeholders")
+    assert (out.out_input_truncated, out.out_output_limit_reached, out.out_input_split) == (True, False, True)
+
+
 def test_cli(spark, data, tmp_path, capsys):
     (tmp_path / "in.txt").write_text("the house of the river and the morning\n\n12 34\n")
     assert cli.run(spark, ["detect", str(tmp_path / "in.txt"), "--train", f"{data}/documents.parquet"]) == 0

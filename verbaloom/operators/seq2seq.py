@@ -7,12 +7,11 @@ is too long raises, is cut, or is split at clauses; a sentence that runs away is
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from dataclasses import dataclass
 
 import numpy as np
 
 from verbaloom.functions import segment
-from verbaloom.operators.translate import Translator
+from verbaloom.operators.translate import Outcome, Translator
 
 
 class InputTooLong(ValueError):
@@ -77,14 +76,6 @@ def greedy(decoder: Decoder, batch: list[list[int]], target: str, budget: int) -
     return [o[skip:] for o in out], full
 
 
-@dataclass
-class Outcome:
-    text: str
-    truncated: bool = False
-    limit_reached: bool = False
-    split: bool = False
-
-
 class Seq2Seq(Translator):
     def __init__(self, decoder: Decoder, name: str, sources=None, targets=None, *, truncate: bool = False, split_long: bool = False, batch_size: int = 32) -> None:
         self.decoder, self.name, self.sources, self.targets = decoder, name, sources, targets

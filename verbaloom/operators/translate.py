@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,18 @@ STATUSES = ("translated", "unchanged", "unknown_source", "unsupported_source", "
 RESULT = "struct<text:string,input_truncated:boolean,output_limit_reached:boolean,error:string,preservation:string,input_split:boolean>"
 
 
+@dataclass
+class Outcome:
+    """A text and what came of it: cut to fit, ended by the token budget, translated in pieces."""
+
+    text: str
+    truncated: bool = False
+    limit_reached: bool = False
+    split: bool = False
+    error: str | None = None
+    preservation: str | None = None
+
+
 class Translator(ABC):
     """One model: names its languages and translates lists of texts."""
 
@@ -30,6 +42,10 @@ class Translator(ABC):
     @abstractmethod
     def translate(self, texts: list[str], source: str | None, target: str) -> list[str]: ...
 
+    def outcomes(self, texts: list[str], source: str | None, target: str) -> list[Outcome]:
+        """translate() with flags; a model that cuts or splits texts says so here."""
+        return [Outcome(t) for t in self.translate(texts, source, target)]
+
     def validate(self, source: str | None, target: str) -> None:
         """Raises for a target it doesn't write, then for a source it has to know, then for one it doesn't read."""
         if self.targets is not None and target not in self.targets:
@@ -60,16 +76,16 @@ class LetterSwap(Translator):
         return [f"{t.translate(table)}:{target}" for t in texts]
 
 
-def guarded(model: Translator, texts: list[str], source: str | None, target: str) -> list[tuple[str, str | None]]:
-    """(text, error) of each; a batch that fails is halved until what fails stands alone and comes back as it was."""
+def guarded(model: Translator, texts: list[str], source: str | None, target: str) -> list[Outcome]:
+    """The outcome of each; a batch that fails is halved until what fails stands alone and comes back as it was."""
     try:
-        out = model.translate(texts, source, target)
+        out = model.outcomes(texts, source, target)
         if len(out) != len(texts):
             raise ValueError(f"{len(out)} results for {len(texts)} texts")
-        return [(t, None) for t in out]
+        return out
     except Exception as e:  # noqa: BLE001  any model error is data here
         if len(texts) <= 1:
-            return [(t, f"{type(e).__name__}: {e}") for t in texts]
+            return [Outcome(t, error=f"{type(e).__name__}: {e}") for t in texts]
         half = len(texts) // 2
         return guarded(model, texts[:half], source, target) + guarded(model, texts[half:], source, target)
 
@@ -80,7 +96,7 @@ class Preserver:
     def __init__(self, run, finder: literals.Finder) -> None:
         self.run, self.finder = run, finder
 
-    def piecewise(self, texts: list[str], spans: list[list]) -> list[tuple[str, str | None, str]]:
+    def piecewise(self, texts: list[str], spans: list[list]) -> list[Outcome]:
         cut, jobs = [], []
         for t, found in zip(texts, spans, strict=True):
             parts, at = [], 0
@@ -90,20 +106,21 @@ class Preserver:
             parts.append([t[at:], False])
             cut.append(parts)
             jobs += [p for p in parts if not p[1] and any(c.isalpha() for c in p[0])]
-        errors: dict[int, str] = {}
-        for p, (out, error) in zip(jobs, self.run([p[0].strip() for p in jobs]) if jobs else [], strict=True):
+        done: dict[int, Outcome] = {}
+        for p, out in zip(jobs, self.run([p[0].strip() for p in jobs]) if jobs else [], strict=True):
             body = p[0].strip()
             lead = p[0].index(body)
-            if error:
-                errors[id(p)] = error
-            p[0] = p[0][:lead] + out + p[0][lead + len(body) :]
+            done[id(p)] = out
+            p[0] = p[0][:lead] + out.text + p[0][lead + len(body) :]
         result = []
         for t, parts in zip(texts, cut, strict=True):
-            failed = next((errors[id(p)] for p in parts if id(p) in errors), None)
-            result.append((t, failed, "segments") if failed else ("".join(p[0] for p in parts), None, "segments"))
+            own = [done[id(p)] for p in parts if id(p) in done]
+            failed = next((o.error for o in own if o.error), None)
+            flags = [any(o.truncated for o in own), any(o.limit_reached for o in own), any(o.split for o in own)]
+            result.append(Outcome(t, error=failed, preservation="segments") if failed else Outcome("".join(p[0] for p in parts), *flags, preservation="segments"))
         return result
 
-    def translate(self, texts: list[str]) -> list[tuple[str, str | None, str | None]]:
+    def translate(self, texts: list[str]) -> list[Outcome]:
         import re
 
         spans = [self.finder.spans(t) for t in texts]
@@ -119,11 +136,12 @@ class Preserver:
         first = [i for i, found in enumerate(spans) if masked[i] is not None or not found]
         results: list = [None] * len(texts)
         again = [i for i, found in enumerate(spans) if found and masked[i] is None]
-        for i, (out, error) in zip(first, self.run([texts[i] if masked[i] is None else masked[i] for i in first]) if first else [], strict=True):
-            if error:
-                results[i] = (texts[i], error, None)
+        for i, got in zip(first, self.run([texts[i] if masked[i] is None else masked[i] for i in first]) if first else [], strict=True):
+            out = got.text
+            if got.error:
+                results[i] = replace(got, text=texts[i])
             elif masked[i] is None:
-                results[i] = (out, None, None)
+                results[i] = got
             elif sorted(re.findall(rf"{stems[i]}(\d+)", out)) != sorted(str(k) for k in range(len(spans[i]))):
                 again.append(i)
             else:
@@ -132,7 +150,7 @@ class Preserver:
                     left = " ?" if a > 0 and t[a - 1].isalnum() else ""
                     right = " ?" if b < len(t) and t[b].isalnum() else ""
                     out = re.sub(rf"{left}{stems[i]}{k}(?!\d){right}", lambda _, v=t[a:b]: v, out, count=1)
-                results[i] = (out, None, "placeholders")
+                results[i] = replace(got, text=out, preservation="placeholders")
         for i, r in zip(again, self.piecewise([texts[i] for i in again], [spans[i] for i in again]), strict=True):
             results[i] = r
         return results
@@ -146,7 +164,7 @@ def model_column(model: Translator, text: Column, source: Column, target: str, *
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         finder = None if kinds is None else literals.Finder(kinds, patterns)
         for texts, sources in batches:
-            rows: list = [(None, None, None)] * len(texts)
+            rows: list = [Outcome(None)] * len(texts)
             some = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: (sources.iloc[i] or "", len(texts.iloc[i])))
             while some:
                 source = sources.iloc[some[0]]
@@ -154,17 +172,20 @@ def model_column(model: Translator, text: Column, source: Column, target: str, *
                 some = some[len(part) :]
                 call = lambda ts, s=source: guarded(model, ts, s, target)
                 asked = [texts.iloc[i] for i in part]
-                out = [(t, e, None) for t, e in call(asked)] if finder is None else Preserver(call, finder).translate(asked)
+                out = call(asked) if finder is None else Preserver(call, finder).translate(asked)
                 for i, r in zip(part, out, strict=True):
                     rows[i] = r
-            yield pd.DataFrame({"text": [r[0] for r in rows], "input_truncated": False, "output_limit_reached": False, "error": [r[1] for r in rows], "preservation": [r[2] for r in rows], "input_split": False})
+            yield pd.DataFrame({"text": [r.text for r in rows], "input_truncated": [r.truncated for r in rows], "output_limit_reached": [r.limit_reached for r in rows], "error": [r.error for r in rows], "preservation": [r.preservation for r in rows], "input_split": [r.split for r in rows]})
 
     return run(text, source)
 
 
 @dataclass(frozen=True)
 class Translation:
-    """Adds result, status, error and source columns to a DataFrame.
+    """Adds result, status, error, source and preservation columns to a DataFrame, and three flags.
+
+    input_truncated, output_limit_reached, input_split: whether a sentence was cut to fit the model, used up its token
+    budget, or was translated in pieces; false where no model ran.
 
     source: a code for all rows; or a column of detections (struct<language, status, ...>) in ISO 639-3 with part3, the
     ISO 639-3 code of each source the model reads.
@@ -221,6 +242,7 @@ class Translation:
                 f"{result_col}_error": F.when(ran, F.col("_out.error")),
                 f"{result_col}_source": F.when(text.isNotNull(), F.col("_source")),
                 f"{result_col}_preservation": F.when(ran, F.col("_out.preservation")),
+                **{f"{result_col}_{c}": F.when(text.isNotNull(), F.coalesce(f"_out.{c}", F.lit(False))) for c in ("input_truncated", "output_limit_reached", "input_split")},
             }
         ).drop("_out", "_status", "_source")
 
