@@ -297,15 +297,16 @@ def test_decontamination(spark, docs, rows):
     items = [(f"i{k}", " ".join(t.split()[5:25])) for k, t in enumerate(source[:20])] + [("short", "one two three"), ("none", "!!"), ("null", None), ("dup", " ".join(source[0].split()[5:25]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = plain.contamination(rows, items)
-    for block in (1 << 18, 150):
-        found = decontaminate.find_matches(docs, bench, block_bytes=block)
+    for block in (1 << 19, 25):
+        found = decontaminate.find_matches(docs, bench, block_words=block)
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(found).collect()}
         assert got == want
     best = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_matches(docs, bench)).collect()}
     assert max(r.longest_words or 0 for r in best.values()) == 20
-    kept = decontaminate.remove_contaminated(docs, bench)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in want.items() if not x[4])
+    for least in (1, 2):
+        kept = decontaminate.remove_contaminated(docs, bench, min_items=least)
+        assert kept.schema == docs.schema
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in want.items() if x[2] < least)
     none = decontaminate.find_matches(docs, bench.limit(0))
     assert decontaminate.digest(none).where("n_items > 0").isEmpty() and none.count() == len(rows)
 
@@ -317,24 +318,25 @@ def test_decontamination_by_row_at_any_block_size(spark):
     items = [("i", a), ("i", a), ("j", b), ("i", c), ("j", "no match of any row at all in this item"), (None, "x y")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id string, text string").coalesce(1)
     want = sorted([(i, *plain.contamination([(0, t)], items)[0]) for i, t in rows], key=repr)
-    for block in (1 << 18, 100, 1):
-        found = decontaminate.find_matches(docs, bench, block_bytes=block)
+    for block in (1 << 19, 20, 1):
+        found = decontaminate.find_matches(docs, bench, block_words=block)
         got = decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert sorted(map(tuple, got.collect()), key=repr) == want, block
         whole = sorted(map(repr, map(tuple, found.collect())))
-        first = whole if block == 1 << 18 else first
+        first = whole if block == 1 << 19 else first
         assert whole == first, block
-        left = decontaminate.remove_contaminated(docs, bench, block_bytes=block)
-        assert sorted(map(tuple, left.collect()), key=repr) == sorted([x for x in rows if x[0] in (1, None, 3)], key=repr), block
+        left = decontaminate.remove_contaminated(docs, bench, min_items=2, block_words=block)
+        assert sorted(map(tuple, left.collect()), key=repr) == sorted([x for x, w in zip(rows, (plain.contamination([(0, t)], items)[0] for _, t in rows), strict=True) if w[2] < 2], key=repr), block
 
 
 def test_decontamination_by_an_item_of_many_words(spark):
     long = [f"v{i}" for i in range(70_000)]
     rows = [(0, " ".join(long[40_000:40_030])), (1, "a b c d e f g h"), (2, " ".join(["x", *long[-9:], *long[:8], "y"])), (3, " ".join(long[:7]))]
     items = [("long", " ".join(long)), ("short", "a b c"), ("other", " ".join(long[-8:]))]
-    found = decontaminate.find_matches(table(spark, rows), spark.createDataFrame(items, "item_id string, text string"))
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(found).collect()}
-    assert got == plain.contamination(rows, items) and [got[i][1] for i in range(4)] == [30, 3, 17, 0]
+    for block in (1 << 19, 5000):
+        found = decontaminate.find_matches(table(spark, rows), spark.createDataFrame(items, "item_id string, text string"), block_words=block)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(found).collect()}
+        assert got == plain.contamination(rows, items) and [got[i][1] for i in range(4)] == [30, 3, 17, 0]
 
 
 def page(url, *tags):

@@ -4,12 +4,14 @@ Every slab of documents is a shard with a suffix array of its words, ordered to
 suffixes are binary-searched in it; hits that follow one another on a diagonal join to the longest verbatim matches.
 The array holds only suffixes whose words all occur in the test set: no other suffix can equal a test window.
 
-The test set never has to fit one task: it is read in blocks of bounded size, each searched in every shard.
+The corpus is read once, whatever the size of the test set. The test set comes to the driver a partition at a time and
+leaves it as blocks of bounded size, each a broadcast of its own; a worker opens one block at a time and searches it in
+the slabs of an Arrow batch. What the blocks find in a row meets in the task that read the row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,40 +19,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import cut, free_name, need
-
-#: Test bytes in a block, unless one item alone is longer, and what one broadcast holds.
-BLOCK_BYTES = 256 << 10
-
-SCHEMA = "doc_id long, n_words long, ranges array<long>, items array<string>, best struct<item:string,start:long,length:long>"
-
-
-class TestBlock:
-    """Windows of some items, as sorted keys for each window length."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        texts = pa.array([t for _, t in items], pa.string())
-        self.names = [i for i, _ in items]
-        hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for low, _, data, offsets in B.slabs(texts):
-            h, rows, _, _ = B.word_hashes(B.LOWER[data], offsets, B.ALNUM)
-            hashes.append(h)
-            owners.append(rows + low)
-        h, own = np.concatenate(hashes), np.concatenate(owners)
-        self.vocabulary = np.unique(h)
-        self.id_type = ">u2" if len(self.vocabulary) <= 65_535 else ">u4"
-        ids = np.searchsorted(self.vocabulary, h) + 1
-        counts = np.bincount(own, minlength=len(items))
-        first = np.cumsum(counts) - counts
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for m in sorted({min(int(c), window) for c in counts if c}):
-            takes = np.flatnonzero((counts >= window) if m == window else (counts == m))
-            n = counts[takes] - m + 1
-            at = B.ranges(first[takes], n)
-            item = np.repeat(takes, n)
-            keys = keys_of(ids, at, m, self.id_type)
-            order = np.argsort(keys, kind="stable")
-            self.by_length[m] = keys[order], item[order], (at - first[item])[order]
+from .common import need
+
+#: Test words in a block; at 4 bytes a word, a window's key has 32 bytes, so a block's broadcast has some 20 MB at most.
+BLOCK_WORDS = 1 << 19
+
+FOUND = "n_words long, ranges array<long>, items array<string>, best struct<item:string,start:long,length:long>"
+SCHEMA = "doc_id long, " + FOUND
+
+#: A block: names by item number, the sorted hashes of its words, the type of word ids, and for each window length the
+#: sorted keys with their items and places. Plain values only, so a worker needs no class of this module to read it.
+Block = dict
+
+
+def make_block(pieces: list[tuple[int, str, int, np.ndarray]], window: int) -> Block:
+    """The windows of pieces (item number, name, first word, word hashes) as sorted keys for each window length."""
+    counts = np.array([len(h) for _, _, _, h in pieces], dtype=np.int64)
+    numbers = np.array([k for k, _, _, _ in pieces], dtype=np.int64)
+    begins = np.array([b for _, _, b, _ in pieces], dtype=np.int64)
+    h = np.concatenate([np.empty(0, np.uint64), *[x for _, _, _, x in pieces]])
+    vocabulary = np.unique(h)
+    id_type = ">u2" if len(vocabulary) <= 65_535 else ">u4"
+    ids = np.searchsorted(vocabulary, h) + 1
+    first = np.cumsum(counts) - counts
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for m in sorted({min(int(c), window) for c in counts if c}):
+        takes = np.flatnonzero((counts >= window) if m == window else (counts == m))
+        n = counts[takes] - m + 1
+        at = B.ranges(first[takes], n)
+        piece = np.repeat(takes, n)
+        keys = keys_of(ids, at, m, id_type)
+        order = np.argsort(keys, kind="stable")
+        by_length[m] = keys[order], numbers[piece][order], (at - first[piece] + begins[piece])[order]
+    return {"names": {k: n for k, n, _, _ in pieces}, "vocabulary": vocabulary, "id_type": id_type, "by_length": by_length}
 
 
 def keys_of(ids: np.ndarray, at: np.ndarray, m: int, id_type: str) -> np.ndarray:
@@ -61,32 +62,29 @@ def keys_of(ids: np.ndarray, at: np.ndarray, m: int, id_type: str) -> np.ndarray
     return out.view(f"S{out.itemsize * m}").ravel()
 
 
-def search(block: TestBlock, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each row, each row's first word, and the hits: place, length, item, place in the item."""
-    h, rows, _, _ = B.word_hashes(B.LOWER[data], offsets, B.ALNUM)
-    counts = np.bincount(rows, minlength=len(offsets) - 1)
-    firsts = np.cumsum(counts) - counts
+def search(block: Block, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hits in a shard of words (hashes and rows): place, length, item, place in the item."""
     found: list[tuple[np.ndarray, ...]] = []
-    if len(block.vocabulary) and len(h):
-        near = np.searchsorted(block.vocabulary, h)
-        near[near == len(block.vocabulary)] = 0
-        ids = np.where(block.vocabulary[near] == h, near + 1, 0)
+    vocabulary = block["vocabulary"]
+    if len(vocabulary) and len(h):
+        near = np.searchsorted(vocabulary, h)
+        near[near == len(vocabulary)] = 0
+        ids = np.where(vocabulary[near] == h, near + 1, 0)
         known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for m, (keys, item, at) in block.by_length.items():
+        for m, (keys, item, at) in block["by_length"].items():
             if len(ids) < m:
                 continue
             suffixes = np.flatnonzero((known[m:] - known[:-m] == m) & (rows[m - 1 :] == rows[: len(rows) - m + 1]))
             if not len(suffixes):
                 continue
-            own = keys_of(ids, suffixes, m, block.id_type)
+            own = keys_of(ids, suffixes, m, block["id_type"])
             order = np.argsort(own, kind="stable")  # the shard's suffix array
             own, suffixes = own[order], suffixes[order]
             low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
             n = high - low
             where = suffixes[B.ranges(low, n)]
             found.append((where, np.full(len(where), m), np.repeat(item, n), np.repeat(at, n)))
-    hits = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
-    return counts, firsts, *hits
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
 
 
 def longest(place: np.ndarray, length: np.ndarray, item: np.ndarray, at: np.ndarray, row: np.ndarray) -> dict[int, tuple[int, int, int]]:
@@ -106,77 +104,106 @@ def longest(place: np.ndarray, length: np.ndarray, item: np.ndarray, at: np.ndar
     return best
 
 
-def scan_block(block: TestBlock):
+Opener = Callable[[], Iterator[Block]]
+
+
+def matches_of(texts: pa.Array, blocks: Opener) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    """For each slab of an Arrow column: first row, row after the last, and the columns of FOUND."""
+    shards = []
+    for low, high, data, offsets in B.slabs(texts):
+        h, rows, _, _ = B.word_hashes(B.LOWER[data], offsets, B.ALNUM)
+        shards.append((low, high, h, rows, []))
+    names: dict[int, str] = {}
+    for block in blocks():
+        for _, _, h, rows, hits in shards:
+            found = search(block, h, rows)
+            if len(found[0]):
+                hits.append(found)
+                names |= block["names"]
+    for low, high, _, rows, hits in shards:
+        counts = np.bincount(rows, minlength=high - low).astype(np.int64)
+        firsts = np.cumsum(counts) - counts
+        place, length, item, at = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, np.int64),) * 4
+        row = rows[place]
+        hit = B.covered(place, place + length, int(counts.sum()))
+        starts, ends, owner = B.runs(hit, np.append(firsts, len(hit)))
+        best = longest(place, length, item, at, row)
+        spans: list[list[int]] = [[] for _ in range(high - low)]
+        for r, s, e in zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            spans[r] += [s - int(firsts[r]), e - int(firsts[r])]
+        items: list[list[str]] = [[] for _ in range(high - low)]
+        pairs = np.unique(np.stack([row, item], axis=1), axis=0) if len(row) else np.empty((0, 2), int)
+        for r, i in pairs.tolist():
+            items[r].append(names[i])
+        items = [list(dict.fromkeys(x)) for x in items]
+        tops = [None if (b := best.get(r)) is None else {"item": names[b[0]], "start": b[1] - int(firsts[r]), "length": b[2]} for r in range(high - low)]
+        yield low, high, [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(tops, pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))]
+
+
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Block]:
+    """The test set in blocks of at most block_words words; a longer item is cut into pieces that share window - 1 words."""
+    size, held = 0, []
+    step = max(block_words, 2 * window)
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), text_col).toLocalIterator()
+    for number, (name, text) in enumerate(rows):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        h, _, _, _ = B.word_hashes(B.LOWER[data], np.array([0, len(data)]), B.ALNUM)
+        for begin in range(0, max(len(h) - window + 1, 1 if len(h) else 0), step - window + 1):
+            piece = h[begin : begin + step]
+            if held and size + len(piece) > block_words:
+                yield make_block(held, window)
+                size, held = 0, []
+            held.append((number, "" if name is None else name, begin, piece))
+            size += len(piece)
+    if held:
+        yield make_block(held, window)
+
+
+def broadcast_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Opener:
+    """Sends each block as it is made; what comes back opens them one after another on a worker."""
+    context = benchmark.sparkSession.sparkContext
+    sent = [context.broadcast(b) for b in blocks_of(benchmark, item_col, text_col, window, block_words)]
+
+    def opened() -> Iterator[Block]:
+        for b in sent:
+            yield b.value
+            if len(sent) > 1:  # the next takes its place; the file of the broadcast stays
+                b.__dict__.pop("_value", None)
+
+    return opened
+
+
+def scan_fn(blocks: Opener):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [c for c in batch.schema.names if c != "text"]
-            for low, high, data, offsets in B.slabs(batch.column("text")):
-                counts, firsts, place, length, item, at = search(block, data, offsets)
-                row = np.searchsorted(firsts, place, side="right") - 1
-                hit = B.covered(place, place + length, int(counts.sum()))
-                starts, ends, owner = B.runs(hit, np.append(firsts, len(hit)))
-                best = longest(place, length, item, at, row)
-                spans: list[list[int]] = [[] for _ in range(high - low)]
-                for r, s, e in zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                    spans[r] += [s - int(firsts[r]), e - int(firsts[r])]
-                items: list[list[str]] = [[] for _ in range(high - low)]
-                pairs = np.unique(np.stack([row, item], axis=1), axis=0) if len(row) else np.empty((0, 2), int)
-                for r, i in pairs.tolist():
-                    items[r].append(block.names[i])
-                items = [list(dict.fromkeys(x)) for x in items]
-                tops = [None if (b := best.get(r)) is None else {"item": block.names[b[0]], "start": b[1] - int(firsts[r]), "length": b[2]} for r in range(high - low)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(low, high - low).cast(pa.int64()) for c in keys], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(tops, pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))],
-                    names=[*keys, "n_words", "ranges", "items", "best"],
-                )
+            ids = batch.column(0).cast(pa.int64())
+            for low, high, columns in matches_of(batch.column(1), blocks):
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), *columns], names=["doc_id", "n_words", "ranges", "items", "best"])
 
     return scan
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The test set in blocks of at most block_bytes, or of one item that is longer; rows come a partition at a time."""
-    block: list[tuple[str, str]] = []
-    size = 0
-    for item, text in benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), text_col).toLocalIterator():
-        n = len(text.encode())
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append(("" if item is None else item, text))
-        size += n
-    yield block
+def keep_fn(text_at: int, blocks: Opener, min_items: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = [np.diff(columns[2].offsets.to_numpy()) < min_items for _, _, columns in matches_of(batch.column(text_at), blocks)]
+            yield batch.filter(pa.array(np.concatenate([np.empty(0, bool), *few])))
+
+    return keep
 
 
-def find_matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: n_words, the hit word ranges [start, end, start, end, ...], the items met, the longest match.
 
     Null and empty texts have no words and no hits. An item with fewer words than the window is one window; one without
     words (or a null text) is met by nothing. Repeated document rows are judged row by row; repeated items count once
-    for each different id. Other columns are ignored. A null doc_id gives a row with a null id.
+    for each different id. Other columns are ignored. A null doc_id gives a row with a null id. An empty table gives an
+    empty result, an empty test set meets nothing.
     """
     need(documents, id_col, text_col)
     need(benchmark, item_col, item_text_col)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = [TestBlock(b, window) for b in blocks_of(benchmark, item_col, item_text_col, block_bytes)]
-    if len(blocks) == 1:
-        return docs.mapInArrow(scan_block(blocks[0]), SCHEMA)
-    # Each block sees each row; what they found meets by a key of the row, written so that all blocks see the same one.
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "contamination-rows")
-    parts = [rows.mapInArrow(scan_block(b), SCHEMA.replace("doc_id long,", "doc_id long, __row long,")).withColumn("__block", F.lit(k)) for k, b in enumerate(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    merged = out.groupBy("__row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("ranges")).alias("ranges"),
-        F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.struct("__block", "items"))).getField("items"))).alias("items"),
-        F.max_by("best", F.struct(F.col("best.length"), -F.col("best.start"), -F.col("__block"))).alias("best"),
-    ).drop("__row")
-    pairs = "transform(sequence(0, size(ranges) - 2, 2), i -> struct(ranges[i] AS s, ranges[i + 1] AS e))"
-    fold = f"aggregate(array_sort({pairs}), array(), (a, x) -> IF(size(a) > 0 AND a[size(a) - 1] >= x.s, concat(slice(a, 1, size(a) - 1), array(greatest(a[size(a) - 1], x.e))), concat(a, array(x.s, x.e))))"
-    fold = fold.replace("array(), (a, x)", "CAST(array() AS array<bigint>), (a, x)")
-    return merged.withColumn("ranges", F.expr(f"IF(size(ranges) = 0, ranges, {fold})"))
+    return docs.mapInArrow(scan_fn(broadcast_blocks(benchmark, item_col, item_text_col, window, block_words)), SCHEMA)
 
 
 def digest(matches: DataFrame, min_items: int = 2) -> DataFrame:
@@ -194,10 +221,10 @@ def digest(matches: DataFrame, min_items: int = 2) -> DataFrame:
     )
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, *, min_items: int = 2, **options) -> DataFrame:
-    """The documents that meet fewer than min_items items, all columns as they came; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    name = free_name(documents, "__bad")
-    bad = digest(find_matches(documents, benchmark, **options), min_items).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(bad, documents[id_col].cast("long") == F.col(name), "left_anti")
-
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, *, min_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that meet fewer than min_items items, each row judged by its own text; all columns as they came."""
+    need(documents, text_col)
+    need(benchmark, item_col, item_text_col)
+    inner = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    left = inner.mapInArrow(keep_fn(documents.columns.index(text_col), broadcast_blocks(benchmark, item_col, item_text_col, window, block_words), min_items), inner.schema)
+    return left.toDF(*documents.columns)
