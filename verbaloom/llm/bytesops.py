@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB = 1 << 21
+SLAB = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
 _rng = np.random.default_rng(20240229)

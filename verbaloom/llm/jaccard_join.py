@@ -27,7 +27,7 @@ from .graph import components
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
-SLAB = 1 << 22
+SLAB = 1 << 20
 MAX_ROUNDS = 40
 
 DEALT = "kind int, part long, chunk long, a binary, b binary, n long"
