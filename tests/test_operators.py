@@ -67,6 +67,15 @@ def test_ngram_model_agrees_with_plain_python(spark, data):
 def test_partitions_do_not_matter(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
     model = ngram_model.train(docs, "text", "lang")
+    joined = ngram_model.train(docs, "text", "lang", max_cells=0)
+    assert joined.arrays is None and model.arrays is not None
+    a, b = ({(r.doc_id, r.language): r.score for r in m.scores(docs, "doc_id", "text").collect()} for m in (model, joined))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * max(1, abs(a[k])) for k in a)
+    assert {(r.gram, round(r.logp, 9)) for r in model.table.collect()} == {(r.gram, round(r.logp, 9)) for r in joined.table.collect()}
+    joined.release()
+    odd = spark.createDataFrame([(1, "the house", "x"), (1, None, "y"), (None, "und das Haus", "z"), (None, "", "w")], "id long, text string, _rule string").withColumns({"_letters": F.lit(1), "_asked": F.lit(2)})
+    out = LanguageDetection(NgramDetector(model), Policy(min_letters=2)).with_language(odd, "id", "text", "l", detailed=True).collect()
+    assert sorted((r._rule, r._letters, r._asked, r.l.status) for r in out) == [("w", 1, 2, "empty"), ("x", 1, 2, "detected"), ("y", 1, 2, "empty"), ("z", 1, 2, "detected")]
     found = [sorted((r.doc_id, r.l) for r in LanguageDetection(NgramDetector(model)).with_language(docs.repartition(n), "doc_id", "text", "l").select("doc_id", "l").collect()) for n in (1, 5)]
     assert found[0] == found[1]
     accuracy = docs.join(spark.createDataFrame(found[0], "doc_id long, l string"), "doc_id").agg(F.avg((F.col("lang") == F.col("l")).cast("int"))).first()[0]

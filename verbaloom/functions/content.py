@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # The 29 white-space code points of Unicode text splitting.
 WHITESPACE = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPLIT = f"[{WHITESPACE}]+"
+FIRST_TOKENS = 16
 _SOLID = f"[^{WHITESPACE}]"
 _WORD = r"[\p{L}\p{N}_]"
 _NAME = r"[\p{L}\p{N}_-]"
@@ -50,8 +51,10 @@ def letter_count(text: Column) -> Column:
 
 
 def has_linguistic_content(text: Column) -> Column:
-    """Stops at the first token that has a letter."""
-    return F.exists(tokens(text), lambda t: t.rlike(r"\p{L}") & ~is_literal_token(t))
+    """Stops at the first token that has a letter; most texts have one among their first, so these are cut off first."""
+    prose = lambda t: t.rlike(r"\p{L}") & ~is_literal_token(t)
+    first = F.slice(F.split(text_or_empty(text), SPLIT, FIRST_TOKENS + 1), 1, FIRST_TOKENS)
+    return F.exists(first, prose) | F.exists(tokens(text), prose)
 
 
 def rule_label(text: Column) -> Column:

@@ -52,6 +52,10 @@ class Detector(ABC):
     #: Codes the model knows; None where it can't say.
     labels: tuple[str, ...] | None = None
 
+    def column(self, text: Column, top: int | None = None) -> Column | None:
+        """The scores (the first `top` of them) as a column of the text's own row; None if the model needs a join."""
+        return None
+
     @abstractmethod
     def ranked(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame: ...
 
@@ -67,6 +71,9 @@ class NgramDetector(Detector):
     def ranked(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return self.model.ranked(df.where(F.col(text_col).isNotNull()), id_col, text_col)
 
+    def column(self, text: Column, top: int | None = None) -> Column | None:
+        return None if self.model.arrays is None or not self.model.languages else self.model.scores_column(text, top)
+
 
 @dataclass(frozen=True)
 class BatchDetector(Detector):
@@ -76,7 +83,7 @@ class BatchDetector(Detector):
     labels: tuple[str, ...] | None = None
     batch_size: int = 256
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, top: int | None = None) -> Column:
         opener, size = self.opener, self.batch_size
 
         @F.pandas_udf(SCORES)
@@ -89,7 +96,7 @@ class BatchDetector(Detector):
                 for k in range(0, len(some), size):
                     part = some[k : k + size]
                     for i, scores in zip(part, predict([batch.iloc[i] for i in part]), strict=True):
-                        out[i] = [{"language": a, "score": float(b)} for a, b in sorted(scores, key=lambda s: (-s[1], s[0]))]
+                        out[i] = [{"language": a, "score": float(b)} for a, b in sorted(scores, key=lambda s: (-s[1], s[0]))[:top]]
                 yield pd.Series(out)
 
         return score(text)
@@ -132,31 +139,61 @@ class LanguageDetection:
             if unknown:
                 raise ValueError(f"the model doesn't know {', '.join(unknown)}")
 
-    def detect(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """df with _scores (rule texts: their label with 1.0) and _detection. id_col names each row."""
+    def columns(self, df: DataFrame, id_col: str | None, text_col: str, scores: str, detection: str, top: int | None = None) -> DataFrame:
+        """df with the named columns: the scores (rule texts: their label with 1.0) and the decision."""
         text = F.col(text_col)
-        marked = df.withColumns({"_rule": content.rule_label(text), "_letters": content.letter_count(text)})
-        reach = F.col("_rule").isNull() & (F.col("_letters") >= (self.policy.min_letters or 0))
-        asked = marked.select(id_col, F.when(reach, text).alias("_asked")).where("_asked IS NOT NULL")
-        if isinstance(self.detector, BatchDetector):
-            scored = marked.withColumn("_scores", self.detector.column(F.when(reach, text)))
+        held = set(df.columns) | {scores, detection}
+        rule, letters, key = (free_name(held, x) for x in ("_rule", "_letters", "_key"))
+        marked = df.withColumns({rule: content.rule_label(text), **({letters: content.letter_count(text)} if self.policy.min_letters else {})})
+        reach = F.col(rule).isNull()
+        if self.policy.min_letters:
+            reach = reach & (F.col(letters) >= self.policy.min_letters)
+        asked = F.when(reach, text)
+        column = self.detector.column(asked, top if self.policy.candidates is None else None)
+        if column is not None:
+            scored = marked.withColumn(scores, column)
+        elif id_col is None:
+            raise ValueError("a model that needs a join needs an id column")
         else:
-            scored = marked.join(self.detector.ranked(asked, id_col, "_asked").withColumnRenamed("scores", "_scores"), id_col, "left")
-        scored = scored.withColumn("_scores", restrict(F.col("_scores"), self.policy.candidates))
-        scored = scored.withColumn("_detection", decide(F.col("_rule"), F.col("_letters"), F.col("_scores"), self.policy))
-        shown = F.when(F.col("_rule").isNotNull(), F.array(F.struct(F.col("_rule").alias("language"), F.lit(1.0).alias("score")))).otherwise(F.col("_scores"))
-        return scored.withColumn("_scores", shown).drop("_rule", "_letters")
-
-    def with_language(self, df: DataFrame, id_col: str, text_col: str, result_col: str, *, with_score: bool = False, top_k: int | None = 5, status_col: str | None = None) -> DataFrame:
-        """df with the label, or the top_k scores, and the status if named; one pass of the model serves all."""
-        if top_k is not None and (isinstance(top_k, bool) or top_k < 1):
+            found = self.detector.ranked(marked.select(id_col, asked.alias("_asked")).where("_asked IS NOT NULL"), id_col, "_asked")
+            scored = marked.join(found.select(F.col(id_col).alias(key), F.col("scores").alias(scores)), F.col(id_col) == F.col(key), "left").drop(key)
+        few = F.col(letters) if self.policy.min_letters else F.lit(0)
+        scored = scored.withColumn(scores, restrict(F.col(scores), self.policy.candidates))
+        scored = scored.withColumn(detection, decide(F.col(rule), few, F.col(scores), self.policy))
+        shown = F.when(F.col(rule).isNotNull(), F.array(F.struct(F.col(rule).alias("language"), F.lit(1.0).alias("score")))).otherwise(F.col(scores))
+        return scored.withColumn(scores, shown).drop(rule, *([letters] if self.policy.min_letters else []))
+
+    def detect(self, df: DataFrame, id_col: str, text_col: str, top: int | None = None) -> DataFrame:
+        """df with _scores (the first `top` of them) and _detection in place of columns so called.
+
+        Models that score row by row take each row as it is; one that needs a join takes rows of one id as one text.
+        """
+        return self.columns(df, id_col, text_col, "_scores", "_detection", top)
+
+    def with_language(self, df: DataFrame, id_col: str | None, text_col: str, result_col: str, *, with_score: bool = False, detailed: bool = False, top_k: int | None = 5, status_col: str | None = None) -> DataFrame:
+        """df with the label, the top_k scores or the whole decision, and the status if named; one pass of the model serves all.
+
+        Without scores only the two best are asked for, which is what a margin needs. All other columns stay.
+        """
+        if top_k is not None and (isinstance(top_k, bool) or not isinstance(top_k, int) or top_k < 1):
             raise ValueError("top_k is at least 1, or None for all")
-        found = self.detect(df, id_col, text_col)
-        result = F.col("_detection.language") if not with_score else F.col("_scores") if top_k is None else F.slice("_scores", 1, top_k)
+        if with_score and detailed:
+            raise ValueError("either with_score or detailed, not both")
+        scores, detection = free_name({*df.columns, result_col, status_col}, "_scores"), free_name({*df.columns, result_col, status_col}, "_detection")
+        found = self.columns(df, id_col, text_col, scores, detection, top_k and max(top_k, 2) if with_score else 2)
+        result = F.col(detection) if detailed else F.col(detection).language if not with_score else F.col(scores) if top_k is None else F.slice(scores, 1, top_k)
         out = found.withColumn(result_col, result)
         if status_col:
-            out = out.withColumn(status_col, F.col("_detection.status"))
-        return out.drop("_scores", "_detection")
+            out = out.withColumn(status_col, F.col(detection).status)
+        return out.drop(scores, detection)
+
+
+def free_name(held, wanted: str) -> str:
+    """wanted, or something like it that is in use nowhere."""
+    used = {x.lower() for x in held if x}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
 
 
 def collapse_scores(scores: DataFrame, keys: list[str], code: Column) -> DataFrame:
