@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verbaloom.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from verbaloom.llm.common import cut, table
@@ -24,9 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; n_chars follows the text, and a document that loses all its lines goes."""
-    out = line_dedup.dedup_lines(docs)
-    left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return line_dedup.keep_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,19 +12,41 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def lines(rows, k=2):
+def lines(rows, k=2, long_words=50):
     """{id: (n_lines, n_removed, n_runs, kept)} of [(id, text)]"""
     texts = {i: (t or "").split("\n") for i, t in sorted(rows)}
     seen, gone = set(), {i: set() for i in texts}
     for i, ls in texts.items():
-        for p in range(len(ls) - k + 1):
-            w = tuple(ls[p : p + k])
-            if w in seen:
-                gone[i].update(range(p, p + k))
-            seen.add(w)
+        for p in range(len(ls)):
+            for n in {k, 1}:
+                w = tuple(ls[p : p + n])
+                if len(w) < n or n < k and len(SPACE_WORD.findall(w[0])) < long_words:
+                    continue
+                if w in seen:
+                    gone[i].update(range(p, p + n))
+                seen.add(w)
     return {i: (len(ls), len(gone[i]), sum(p in gone[i] and p - 1 not in gone[i] for p in range(len(ls))), "\n".join(x for p, x in enumerate(ls) if p not in gone[i])) for i, ls in texts.items()}
 
 
+def suffixes(rows):
+    """[(id, line)] of the suffixes of lines that occur twice or more, in order, and what each shares with the one before.
+
+    rows: [(id, [symbol])]. A symbol that occurs once, or a row's end, sorts before all symbols and by its place.
+    """
+    times = Counter(x for _, ls in rows for x in ls)
+    order = {x: k for k, x in enumerate(sorted(x for x in times if times[x] > 1))}
+    keys = {}
+    for i, ls in rows:
+        own = [(1, order[x], 0) if x in order else (0, i, p) for p, x in enumerate(ls)] + [(0, i, len(ls))]
+        for p, x in enumerate(ls):
+            if x in order:
+                stop = next(q for q in range(p, len(own)) if own[q][0] == 0)
+                keys[i, p] = [*own[p:stop], (0, i, p)]
+    out = sorted(keys, key=keys.get)
+    shared = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+    return out, [0, *[shared(keys[a], keys[b]) for a, b in zip(out, out[1:], strict=False)]]
+
+
 def shingles(text, k=5):
     w = SPACE_WORD.findall(lower(text))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()

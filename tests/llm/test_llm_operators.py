@@ -6,7 +6,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from verbaloom.llm import decontaminate, jaccard_join, licenses, line_dedup, packing, pii, quality, queries, sharding, substring_dedup, url_rules
+from verbaloom.llm import decontaminate, jaccard_join, licenses, line_dedup, packing, pii, quality, queries, sharding, substring_dedup, suffix_order, url_rules
 from verbaloom.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, part int, n int, kind int"
@@ -49,17 +49,45 @@ def docs(spark, rows):
     return table(spark, rows).repartition(3)
 
 
-def test_line_dedup(docs, rows):
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+def test_line_dedup(spark, docs, rows):
+    clash = docs.withColumnsRenamed({"part": "n_removed", "n": "n_runs", "kind": "row", "rep": "text_"})
+    found = line_dedup.dedup_lines(clash)
+    assert found.columns == [*clash.columns, "n_lines", "n_removed_", "n_runs_"]
+    out = {r.doc_id: r for r in found.collect()}
     for i, (n, removed, runs, kept) in plain.lines(rows).items():
         r = out[i]
-        assert (r.n_lines, r.n_removed, r.n_runs, r.text or "") == (n, removed, runs, kept), i
-    assert line_dedup.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
-    for k in (1, 3, 5):
-        got = {r.doc_id: (r.n_removed, r.text or "") for r in line_dedup.dedup_lines(docs, min_lines=k).collect()}
-        assert got == {i: (x[1], x[3]) for i, x in plain.lines(rows, k).items()}
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(docs, min_lines=0)
+        assert (r.n_lines, r.n_removed_, r.n_runs_, r.text or "") == (n, removed, runs, kept), i
+        assert (r.n_removed, r.n_runs, r.row, r.text_) == (1, 2, 3, "r")
+    got = {r.doc_id: (r.n_removed, r.text or "") for r in line_dedup.dedup_lines(docs, min_lines=3, long_words=30).collect()}
+    assert got == {i: (x[1], x[3]) for i, x in plain.lines(rows, 3, 30).items()}
+    for bad in ({"min_lines": 0}, {"long_words": 0}):
+        with pytest.raises(ValueError):
+            line_dedup.dedup_lines(docs, **bad)
+
+
+def test_suffix_array(spark):
+    rng = random.Random(4)
+    run = [rng.randrange(4) for _ in range(9)]
+    rows = [(i, [*[rng.randrange(5) for _ in range(rng.randrange(0, 6))], *run[: rng.randrange(4, 10)], 100 + i, *[rng.randrange(3)] * rng.randrange(0, 5)]) for i in range(12)]
+    df = spark.createDataFrame([(i, i, p, 7, x, 0, 0) for i, ls in rows for p, x in enumerate(ls)], "id long, row long, at int, tag int, a long, b int, c int")
+    want, shared = plain.suffixes(rows)
+    for depth in (1, 3):
+        got = suffix_order.suffix_array(df.repartition(3), depth).orderBy("rank").collect()
+        assert [(r.id, r.at) for r in got] == want and [r.rank for r in got] == list(range(len(want))) and {r.tag for r in got} == {7}
+        for r, n in zip(got, shared, strict=True):
+            assert r.shared == n if n < depth else depth <= r.shared <= n
+        # Intervals of the array: neighbours that share so many symbols.
+        for name, least in (("first_1", 1), ("first_d", depth)):
+            k = 0
+            while k < len(got):
+                end = k + 1
+                while end < len(got) and shared[end] >= least:
+                    end += 1
+                first = min((got[j].id, got[j].at) for j in range(k, end))
+                for j in range(k, end):
+                    f = got[j][name]
+                    assert (f.id, f.at) == first if end - k > 1 else f is None or (f.id, f.at) == first
+                k = end
 
 
 def test_pii_base_is_exact():

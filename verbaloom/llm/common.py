@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without and gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="verbaloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -61,7 +64,18 @@ def cut(df: DataFrame, label: str = "cut", *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_scratch_path"] = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes what cut() wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = None if df is None else df.__dict__.pop("_scratch_path", None)
+        if path is not None:
+            drop_scratch(df.sparkSession, path)
+            _made.remove((df.sparkSession, path))
 
 
 def need(df: DataFrame, *names: str) -> None:
@@ -71,7 +85,7 @@ def need(df: DataFrame, *names: str) -> None:
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, or something like it that no column of df is called."""
+    """wanted, or something like it with underscores after it that no column of df is called."""
     taken = {c.lower() for c in df.columns}
     while wanted.lower() in taken:
         wanted += "_"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # Done when each node hangs on one smaller node that itself hangs on none.
         twice = after.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("v").alias("x"))
         hanging = after.select(F.col("u").alias("x")).join(after.select(F.col("v").alias("x")), "x", "left_semi")
+        release(links)
         links = after
         if twice.unionAll(hanging).isEmpty():
             break

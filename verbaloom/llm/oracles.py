@@ -77,11 +77,11 @@ m AS (SELECT page_id, arg_max(verdict, length(rh || rp)) AS v, arg_max(rh || rp,
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
 """
 
-OP1 = """
+OP1 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l),
+w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 AS alone FROM l),
 c AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS later FROM w WHERE after IS NOT NULL),
-m AS (SELECT l.doc_id, l.i, l.line, coalesce(a.later, false) OR coalesce(b.later, false) AS gone FROM l LEFT JOIN c a ON a.doc_id = l.doc_id AND a.i = l.i LEFT JOIN c b ON b.doc_id = l.doc_id AND b.i = l.i - 1),
+m AS (SELECT w.doc_id, w.i, w.line, alone OR coalesce(a.later, false) OR coalesce(b.later, false) AS gone FROM w LEFT JOIN c a ON a.doc_id = w.doc_id AND a.i = w.i LEFT JOIN c b ON b.doc_id = w.doc_id AND b.i = w.i - 1),
 r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM m)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_removed, CAST(sum(head::INT) AS BIGINT) AS n_runs, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id
