@@ -316,8 +316,31 @@ def test_sharding(spark, docs, rows, tmp_path):
         store.append(docs.select("doc_id"))
     store.append(docs.limit(0))
     assert same(store.read(before)) == same(docs)
-    empty = sharding.ingest(docs.limit(0), f"file://{tmp_path}/empty", arrivals=2)
-    assert empty.read().isEmpty()
+    assert placed.columns == [*docs.columns, "shard", "shard_bytes", "version"]
+    assert sharding.ingest(docs.limit(0), f"file://{tmp_path}/empty", arrivals=2).read().isEmpty()
+    clash = docs.withColumnsRenamed({"part": "shard", "n": "version", "kind": "arrival"})
+    other = sharding.placement(sharding.ingest(clash, f"file://{tmp_path}/clash", arrivals=2))
+    assert other.columns == [*clash.columns, "shard_", "shard_bytes", "version_"] and same(other.select(clash.columns)) == same(clash)
+
+
+def test_which_shards_merge():
+    """Tiers by definition: from the smallest up, the first tier with fan_in shards below half of the target."""
+    rng = random.Random(8)
+    for _ in range(300):
+        store = sharding.ShardStore.__new__(sharding.ShardStore)
+        store.smallest_bytes, store.fan_in = rng.choice([10, 100]), rng.choice([2, 3, 4])
+        store.target_bytes = store.smallest_bytes * rng.choice([5, 50, 500])
+        held = [sharding.Shard(f"s{i}", rng.randrange(1, 2 * store.target_bytes)) for i in range(rng.randrange(0, 14))]
+        store.shards = lambda held=held: held
+        tiers = {}
+        for x in held:
+            if 2 * x.size < store.target_bytes - store.target_bytes % 2:
+                t = 0
+                while x.size >= store.smallest_bytes * store.fan_in * store.fan_in**t:
+                    t += 1
+                tiers.setdefault(t, []).append(x)
+        want = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= store.fan_in), [])
+        assert store.due() == want
 
 
 def test_decontamination(spark, docs, rows):
@@ -394,6 +417,31 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0)).isEmpty()
 
 
+def test_url_spellings_and_logged_redirects(spark):
+    spelled = ["http://www.x.org/a/", "https://x.org/a?utm_source=feed", "https://m.x.org/a.html#top", "https://x.org/a/index.html?ref=q&utm_medium=z", "https://x.org/a?page=2&ref=x", "https://x.org/b", "https://m.org/", "old://z.net/fr/q"]
+    df = spark.createDataFrame(list(enumerate(spelled)), "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    rows = df.select("page_id", url_rules.canonical_node("url").alias("n")).collect()
+    assert [r.n for r in sorted(rows)] == ["x.org/a"] * 4 + ["x.org/a?page=2", "x.org/b", "m.org", "z.net/fr/q"]
+    log = spark.createDataFrame([("http://x.org/a", "https://z.net/fr/q"), ("https://x.org/b", None), (None, "nothing")], "a string, b string")
+    rules = (("block", "net", "/fr/"), ("allow", "none", "/"), *((("block"), f"h{i}.org", "/p/") for i in range(30)))
+    for few in (500, 3):  # the rules in the plan, and as a table
+        got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(df, rules, edges=log, listed_rules=few).collect()}
+        assert got == {**{i: (None, "block") for i in range(4)}, **{i: (None, "allow") for i in (4, 5, 6)}, 7: ("net/fr/", "block")}
+    alone = {r.page_id: r.verdict for r in url_rules.judge(df, rules, edges=log, spellings=False).collect()}
+    assert [i for i in alone if alone[i] == "block"] == [7]
+
+
+def test_many_rules_equal_listed_ones(spark):
+    rng = random.Random(6)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net", ""], ["/", "/p/", "/p/q", "", "/z"]
+    rules = tuple((rng.choice(["allow", "block"]), rng.choice(hosts[:5]), rng.choice(["/", "/p/", "/p/q"])) for _ in range(12))
+    rules = tuple({r[1:]: r for r in rules}.values())
+    pages = [(i, f"http://{rng.choice(hosts)}{rng.choice(paths)}") for i in range(80)] + [(90, None), (91, "q")]
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumn("html", F.lit(""))
+    a, b = ({r.page_id: tuple(r) for r in url_rules.judge(df, rules, listed_rules=n).collect()} for n in (500, 0))
+    assert a == b
+
+
 def test_components(spark):
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(100, 160)]

@@ -69,12 +69,17 @@ j AS (SELECT f.*, NOT base_failed AND NOT (n_words >= {p["min_words"]} AND docs
 
 OP4 = f"WITH {op4_features()} SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, coalesce(kept, NOT base_failed) AS kept FROM j"
 
-#: The pages of the given tables hold no redirect or canonical links, so the rules alone decide in this SQL.
+#: The pages of the given tables hold no refresh or canonical tags, so here components are the spellings of an address.
 OP10 = r"""
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM pages),
+n AS (SELECT *, host || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS node FROM p),
+k AS (SELECT *, CASE WHEN host = '' THEN NULL ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  CASE WHEN regexp_matches(node, '^(www|m)\.[^/]*\.') THEN regexp_replace(node, '^(www|m)\.', '') ELSE node END,
+  '([?&])((utm_[a-z]+|ref|fbclid|gclid|msclkid|mc_cid|mc_eid)=[^&]*(&|$))+', '\1', 'g'), '[?&]+$', ''), '(/index)?\.html?($|\?)', '\2'), '([^/])/($|\?)', '\1\2') END AS spelling FROM n),
 r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-m AS (SELECT page_id, arg_max(verdict, length(rh || rp)) AS v, arg_max(rh || rp, length(rh || rp)) AS rule FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+m AS (SELECT page_id, arg_max(verdict, length(rh || rp)) AS v, arg_max(rh || rp, length(rh || rp)) AS rule FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+a AS (SELECT spelling, min(v) AS v FROM k JOIN m USING (page_id) WHERE spelling IS NOT NULL GROUP BY spelling)
+SELECT k.page_id, host, path, rule, coalesce(m.v, a.v, 'allow') AS verdict FROM k LEFT JOIN m USING (page_id) LEFT JOIN a USING (spelling)
 """
 
 OP1 = r"""

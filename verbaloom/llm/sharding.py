@@ -7,7 +7,8 @@ An append writes a run of small shards and commits a version that adds them. Com
 size, each fan_in times as large as the one below; a tier with fan_in shards or more is read back and rewritten in files of
 about the target size, and a version that swaps them in is committed. Shards of the target size are left alone, so each
 row is rewritten about log(target / smallest, fan_in) times. A commit is a rename that fails if the version exists:
-of two writers one wins, and the other reads the new version and tries again. Readers see whole versions only; a job that
+of two writers one wins, and the other reads the new version and tries again. HDFS makes such a rename in one step; a local
+disk or an object store looks first and moves then, so there a store is for one writer at a time. Readers see whole versions only; a job that
 fails or loses executors leaves files that no version names, and vacuum() removes these.
 
 The driver holds a line per shard, never rows.
@@ -19,10 +20,10 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_path, need
+from .common import free_name, hadoop_path, need
 
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
@@ -97,8 +98,11 @@ class ShardStore:
     def _write(self, df: DataFrame) -> list[Shard]:
         run = f"{self.path}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(run)
-        fs, p = hadoop_path(self.spark, run)
-        return [Shard(s.getPath().toString(), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
+        return self._files(run)
+
+    def _files(self, folder: str) -> list[Shard]:
+        fs, p = hadoop_path(self.spark, folder)
+        return [Shard(s.getPath().toString(), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")] if fs.exists(p) else []
 
     def _swap(self, schema: str, gone: set[str], new: list[Shard], retries: int = 20) -> int:
         for _ in range(retries):
@@ -119,6 +123,20 @@ class ShardStore:
             raise ValueError("the rows' schema isn't the store's")
         return self._swap(df.schema.json(), set(), self._write(df))
 
+    def stage(self, df: DataFrame, arrival: Column, arrivals: int) -> list[list[Shard]]:
+        """Writes the rows of all arrivals in one pass over df, each into shards of its own; nothing is committed yet."""
+        name = free_name(df, "arrival")
+        run = f"{self.path}/data/{uuid.uuid4().hex}"
+        df.withColumn(name, arrival).write.option("compression", "zstd").partitionBy(name).parquet(run)
+        return [self._files(f"{run}/{name}={i}") for i in range(arrivals)]
+
+    def admit(self, schema: str, shards: list[Shard]) -> int:
+        """Commits a version that adds staged shards."""
+        known = self.manifest()["schema"]
+        if known is not None and json.loads(known) != json.loads(schema):
+            raise ValueError("the rows' schema isn't the store's")
+        return self._swap(schema, set(), shards)
+
     def tier(self, size: int) -> int:
         tier = 0
         while size >= self.smallest_bytes * self.fan_in ** (tier + 1):
@@ -152,13 +170,14 @@ class ShardStore:
         return self.read_shards(self.shards(version))
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Deletes the shards that none of the last versions names; not while a reader holds an older one."""
+        """Deletes the shards that none of the last versions names; not while a reader holds an older one or rows are staged."""
         last = self.version()
         named = {s.path for v in range(max(1, last - keep_versions + 1), last + 1) for s in self.shards(v)}
         fs, p = hadoop_path(self.spark, f"{self.path}/data")
         gone = 0
         for run in fs.listStatus(p):
-            files = [f.getPath() for f in fs.listStatus(run.getPath()) if f.getPath().getName().startswith("part-")]
+            inner = [f.getPath() for f in fs.listStatus(run.getPath()) if f.isDirectory()]
+            files = [f.getPath() for d in (run.getPath(), *inner) for f in fs.listStatus(d) if f.getPath().getName().startswith("part-")]
             dead = [f for f in files if f.toString() not in named]
             if len(dead) == len(files):
                 fs.delete(run.getPath(), True)
@@ -170,22 +189,26 @@ class ShardStore:
 
 
 def ingest(documents: DataFrame, path: str, *, arrivals: int = 4, id_col: str = "doc_id", **options) -> ShardStore:
-    """Builds a store from documents that come in `arrivals` appends, compacting and vacuuming after each.
+    """Builds a store from documents that come in `arrivals` appends, compacting after each, and vacuums it at the end.
 
-    The arrival of a row is a hash of its id, so a hot source or a group of copies is in all of them; rows with a null id
-    come with the first. All columns are kept as they are, repeated rows too. An empty table gives a store whose
-    versions have no rows.
+    The table is read once and written as the shards of all arrivals. The arrival of a row is a hash of its id, so a hot
+    source or a group of copies is in all of them; rows with a null id come with the first. All columns are kept as they
+    are, repeated rows too. An empty table gives a store whose versions have no rows.
     """
     need(documents, id_col)
     store = ShardStore(documents.sparkSession, path, **options)
-    for i in range(arrivals):
-        store.append(documents.where(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(arrivals)), F.lit(0)) == i))
+    for shards in store.stage(documents, F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(arrivals)), F.lit(0)), arrivals):
+        store.admit(documents.schema.json(), shards)
         store.compact()
-        store.vacuum()
+    store.vacuum()
     return store
 
 
 def placement(store: ShardStore) -> DataFrame:
-    """All rows of the latest version with shard (its file's name), shard_bytes and version, in place of columns so called."""
-    version = store.version()
-    return store.read(version).withColumns({"shard": F.col("_metadata.file_name"), "shard_bytes": F.col("_metadata.file_size"), "version": F.lit(version)})
+    """All rows of the latest version with shard (its file's name), shard_bytes and version.
+
+    Where the rows have a column so called, it stays, and the new one has an underscore after its name.
+    """
+    version, rows = store.version(), store.read()
+    new = {"shard": F.col("_metadata.file_name"), "shard_bytes": F.col("_metadata.file_size"), "version": F.lit(version)}
+    return rows.withColumns({free_name(rows, c): x for c, x in new.items()})

@@ -1,7 +1,10 @@
 """URL verdicts that follow redirects: rules by host and path, then connected components over redirect and canonical links.
 
 A page without a rule of its own takes the verdict of its aliases. Aliases are the pages that one component of the link
-graph holds; an explicit allow in a component outweighs a block there. DataFrame expressions only.
+graph holds; an explicit allow in a component outweighs a block there. Links are the pages' canonical tags and refreshes,
+the redirects that a caller has logged, and those that sites answer by habit: spellings of an address that differ in
+scheme, a www. or m. in front, tracking parameters, a fragment, an index page, .html or a last slash lead to one canonical
+address. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ RULES: tuple[Rule, ...] = (
     ("block", "net", "/fr/"),
 )
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: No more than this, as the rules are part of the plan.
-MAX_RULES = 2_000
+#: Up to so many rules are part of the plan; more are a table that each page's hosts and paths are joined with.
+LISTED_RULES = 500
+#: Query parameters that say where a visitor came from, not what the page is.
+TRACKING = "utm_[a-z]+|ref|fbclid|gclid|msclkid|mc_cid|mc_eid"
 
 
 def _host_path(url, which: int):
@@ -32,16 +37,29 @@ def _host_path(url, which: int):
     return F.coalesce(ascii_lower(part) if which == 1 else part, F.lit(""))
 
 
-def with_rules(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Adds host, path and the rule that wins: the longest that fits, an allow before a block of the same length."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    if not rules:
-        return pages.withColumns({"host": _host_path("url", 1), "path": _host_path("url", 2), "__rule": F.expr("CAST(NULL AS struct<verdict:string,host:string,path:string>)")})
-    listed = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0]))])
+def with_rules(pages: DataFrame, rules: tuple[Rule, ...], listed_rules: int = LISTED_RULES) -> DataFrame:
+    """Adds host, path and __rule, the rule that wins: the longest that fits, an allow before a block of the same length."""
     parts = pages.withColumns({"host": _host_path("url", 1), "path": _host_path("url", 2)})
-    fits = lambda r: ((F.col("host") == r.host) | F.endswith(F.col("host"), F.concat(F.lit("."), r.host))) & F.startswith(F.col("path"), r.path)
-    return parts.withColumn("__rule", F.get(F.filter(listed, fits), F.lit(0)))
+    kind = "struct<verdict:string,host:string,path:string>"
+    if not rules:
+        return parts.withColumn("__rule", F.lit(None).cast(kind))
+    if len(rules) <= listed_rules:
+        listed = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0]))])
+        fits = lambda r: ((F.col("host") == r.host) | F.endswith(F.col("host"), F.concat(F.lit("."), r.host))) & F.startswith(F.col("path"), r.path)
+        return parts.withColumn("__rule", F.get(F.filter(listed, fits), F.lit(0)))
+    # A host and the domains above it are a few rows for each distinct host and path, however many pages those have.
+    table = pages.sparkSession.createDataFrame(list(rules), "verdict string, rule_host string, rule_path string")
+    lengths = [r.n for r in table.select(F.length("rule_path").alias("n")).distinct().collect()]  # path lengths, not paths
+    places = parts.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    starts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("path"))
+    probes = places.select("host", "path", F.explode(above).alias("rule_host"), starts.alias("starts")).select("host", "path", "rule_host", F.explode("starts").alias("n"))
+    probes = probes.withColumn("rule_path", F.expr("left(path, n)"))
+    fits = probes.join(table, ["rule_host", "rule_path"])
+    best = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), (F.col("verdict") == "allow").alias("allow"), F.struct("verdict", F.col("rule_host").alias("host"), F.col("rule_path").alias("path")).alias("rule")))
+    won = fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.rule").alias("__rule"))
+    return parts.join(won, ["host", "path"], "left")
 
 
 def node_of(url):
@@ -52,6 +70,15 @@ def node_of(url):
     return F.when(host != "", F.concat(ascii_lower(host), rest))
 
 
+def canonical_node(url):
+    """The node that all spellings of an address lead to; the node itself where there is nothing to leave out."""
+    node = F.regexp_replace(node_of(url), r"^(?:www|m)\.(?=[^/]*\.)", "")
+    bare = F.regexp_replace(node, rf"(?<=[?&])(?:{TRACKING})=[^&]*(?:&|$)", "")
+    bare = F.regexp_replace(bare, r"[?&]+$", "")
+    bare = F.regexp_replace(bare, r"(?:/index)?\.html?(?=$|\?)", "")
+    return F.regexp_replace(bare, r"(?<=[^/])/(?=$|\?)", "")
+
+
 def link_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b) for each canonical link and refresh redirect of a page: its node and the target's, relative targets resolved."""
     tags = F.explode(F.regexp_extract_all(html_col, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1))
@@ -70,26 +97,24 @@ def link_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return target.select(node_of("__url").alias("a"), node_of(full).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct()
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", edges: DataFrame | None = None, spellings: bool = True, default: str = "allow", listed_rules: int = LISTED_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page row.
 
-    edges: further (a, b) url pairs, such as a redirect log. A null url or one without :// has an empty host and path, no
-    rule, no aliases and the default verdict. Null html has no links. Repeated pages are judged alike. Empty tables give
-    an empty result; other columns are ignored.
+    edges: further (a, b) url pairs, such as a redirect log. spellings: whether spellings of one address are linked. A null
+    url or one without :// has an empty host and path, no rule, no aliases and the default verdict. Null html has no
+    links. Repeated pages are judged alike. Empty tables give an empty result; other columns are ignored.
     """
     need(pages, id_col, url_col, html_col)
     links = link_edges(pages, url_col=url_col, html_col=html_col)
+    known = lambda df: df.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
+    if spellings:
+        links = links.unionAll(known(pages.select(node_of(url_col).alias("a"), canonical_node(url_col).alias("b"))))
     if edges is not None:
-        links = links.unionAll(edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a != b")).distinct()
-    links = cut(links, "url-edges")
-    ruled = with_rules(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), rules).withColumn("node", node_of("url"))
-    rule = F.concat("__rule.host", "__rule.path")
-    if links.isEmpty():
-        return ruled.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("__rule.verdict", F.lit(default)).alias("verdict"))
+        links = links.unionAll(known(edges.select(node_of("a").alias("a"), node_of("b").alias("b"))))
     members = cut(components(links), "url-components")
-    held = (
-        ruled.where("__rule IS NOT NULL").select("node", F.col("__rule.verdict").alias("v")).distinct()
-        .join(members, "node").groupBy("component").agg(F.min("v").alias("decision"))  # allow sorts before block
-    )
+    ruled = with_rules(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), rules, listed_rules).withColumn("node", node_of("url"))
+    verdicts = ruled.where("__rule IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("__rule.verdict").alias("v"))
+    held = verdicts.join(members, "node").groupBy("component").agg(F.min("v").alias("decision"))  # allow sorts before block
     decided = members.join(held, "component").select("node", "decision")
+    rule = F.concat("__rule.host", "__rule.path")
     return ruled.join(decided, "node", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce("__rule.verdict", "decision", F.lit(default)).alias("verdict"))
