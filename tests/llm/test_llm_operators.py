@@ -280,6 +280,35 @@ def test_plans_of_histograms():
         assert plan.sequences >= max(half, -(-sum(x * n for x, n in histogram.items()) // capacity))
 
 
+def test_the_linear_program_beats_best_fit():
+    """Histograms on which best fit alone, longest first, needs more sequences than the rounded program."""
+    rng = random.Random(1)
+    wide = {rng.randrange(800, 2400): rng.randrange(1, 200) for _ in range(60)}
+    for histogram, capacity, bound in (({51: 60, 27: 60, 26: 60, 23: 120}, 100, 90), (wide, 4096, -(-sum(x * n for x, n in wide.items()) // 4096))):
+        alone = packing.Plan(capacity)
+        for x in sorted(histogram, reverse=True):
+            alone.best_fit(x, histogram[x])
+        plan = packing.make_plan(histogram, capacity)
+        assert bound <= plan.sequences < alone.sequences and plan.sequences <= 1.02 * bound
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from verbaloom.llm import bytesops
+
+    texts = ["Hello World, hello  world", "", "naïve Ünïcode 123\n\ttab", "x" * 50]
+    for name, by_words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = public_tokenizers.path(name)
+        encoder, tokenizer = packing.WordEncoder(path, 50), Tokenizer.from_file(path)
+        assert encoder.by_words == by_words
+        (_, _, data, offsets), = bytesops.slabs(pa.array(texts))
+        ids, counts = encoder.encode(data, offsets)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_licenses(docs, spark, rows):
     texts = [*[t for _, t in rows], "Under the GNU general\npublic  LICENSE. mit license cc-by; the MIT License", "Released under the MIT License.", "this work is, licensed under the gnu public license (version 3)", "K mit licenſe", "permit license"]
     got = {r.doc_id: r for r in licenses.scan(table(spark, list(enumerate(texts)))).collect()}

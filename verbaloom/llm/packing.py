@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
-Texts become token ids in one pass; words repeat, so each distinct run of non-space bytes is encoded once per worker and
-looked up after that. Only a histogram of piece lengths, at most one row per possible length, reaches the driver. There
+Texts become token ids in one pass; where a tokenizer's own settings say that words encode alone, each distinct one is
+encoded once per worker and looked up after that; other tokenizers encode texts whole. Only a histogram of piece lengths,
+at most one row per possible length, reaches the driver. There
 the configuration LP over the histogram is solved by multiplicative weights: each round prices lengths by how little they
 are covered yet, a knapsack dynamic program finds the most valuable sequence, and that sequence gets a step of the solution.
 Whole multiples of the sequences are kept, and best fit places what rounding leaves. The plan's size depends on the
@@ -11,6 +12,7 @@ histogram alone. Pieces find their places by rank among pieces of their length,
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ ROUNDS = 120
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# Fixed value: how the tokenizer of word units splits a text.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes that may end a word as a token of their own; none of them begins a contraction or a special token.
 ENDING = np.zeros(256, dtype=bool)
 ENDING[list(b"!#$%&*,.:;?")] = True
@@ -62,13 +66,26 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, rows
 
 
+def words_encode_alone(settings: dict) -> bool:
+    """Whether a tokenizer encodes units() one by one as it does whole texts: it lower-cases, takes runs of letters, single
+    digits or other marks between white space, forgets the white space, and its special tokens begin with <|."""
+    flat = lambda x, inner: [] if not x else x[inner] if x.get("type") == "Sequence" else [x]
+    normal = [n["type"] for n in flat(settings.get("normalizer"), "normalizers")]
+    cuts = flat(settings.get("pre_tokenizer"), "pretokenizers")
+    split = cuts and cuts[0].get("type") == "Split" and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed" and cuts[0]["pattern"].get("Regex") == WORD_SPLIT
+    rest = all(c.get("type") == "ByteLevel" and not c.get("add_prefix_space") and not c.get("use_regex") for c in cuts[1:])
+    special = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in settings.get("added_tokens") or [])
+    return bool(split and rest and special and "Lowercase" in normal and set(normal) <= {"NFC", "Replace", "Lowercase"} and not settings["model"].get("dropout"))
+
+
 class WordEncoder:
-    """Token ids of units, remembered by their hash in sorted arrays."""
+    """Token ids of units, remembered by their hash in sorted arrays; of whole texts for tokenizers that need them."""
 
     def __init__(self, path: str, limit: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = words_encode_alone(json.loads(self.tokenizer.to_str()))
         self.limit = limit
         self.clear()
 
@@ -97,6 +114,11 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slab, and how many each row has."""
         raw = data.tobytes()
+        if not self.by_words:
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(counts.sum())), counts
         if b"<|" not in raw:  # special tokens are told by their case; all else is lower-cased before it is encoded
             data = B.LOWER[data]
             raw = data.tobytes()
