@@ -193,6 +193,18 @@ def test_substrings(docs, rows):
         assert (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans) // 2, bytes(r.kept)) == (n, removed, spans, kept), i
     small = substring_dedup.dedup_substrings(docs, window=20, gram=6, slab=3000)
     assert {r.doc_id: bytes(r.kept) for r in small.collect()} == {i: x[3] for i, x in plain.substrings(rows, 20).items()}
+    split = substring_dedup.dedup_substrings(docs, window=20, gram=6, slab=3000, many=3)
+    assert {r.doc_id: bytes(r.kept) for r in split.collect()} == {i: x[3] for i, x in plain.substrings(rows, 20).items()}
+
+
+def test_suffix_ranks_order_bytes():
+    rng = np.random.default_rng(3)
+    for depth in (1, 5, 8, 20, 100):
+        data = rng.integers(97, 99, 400).astype(np.uint8)
+        got = substring_dedup.suffix_ranks(data, depth)
+        windows = [data[i : i + depth].tobytes() for i in range(len(data) - depth + 1)]
+        place = {w: k for k, w in enumerate(sorted(set(windows)))}
+        assert got.tolist() == [place[w] for w in windows]
 
 
 def check_packing(rows, capacity):

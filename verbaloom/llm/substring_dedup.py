@@ -1,15 +1,20 @@
 """Exact substring dedup by prefix-free parsing: every byte that an earlier equal window of 100 bytes covers goes.
 
-A rolling hash over the bytes triggers phrases: each window takes as its trigger the gram with the smallest hash inside it,
-so equal windows have equal triggers and no window lacks one. A phrase is what the windows of one trigger cover; like the
+A rolling hash over the bytes triggers phrases: a gram whose hash is 0 modulo RESIDUE is a trigger, and the windows from one
+trigger to the next belong to the latter; where a window holds no such gram, its gram with the smallest hash stands in. So
+equal windows have equal triggers and no window lacks one. A phrase is what the windows of one trigger cover; like the
 phrases of prefix-free parsing it overlaps its neighbours, here by a window less a byte, so each window lies whole in one
 phrase. The dictionary holds each distinct phrase once, with its first place; the parse is the phrases' places.
 
-Windows are compared in the dictionary alone, among distinct phrases of one trigger, and the parse carries the outcome to
-all places: a phrase that occurs earlier is covered whole. So repetitive text costs what its dictionary costs. Suffixes
-of phrases are ordered to the depth of a window by hash, since only which are equal and which comes first counts.
+Only phrases of one trigger can share a window, so the dictionary is dealt out by trigger. Its suffix array orders the
+suffixes of a part's phrases by their bytes to the depth of a window: eight bytes at first, then by prefix doubling. The
+parse orders what is equal there by place, and together they are the corpus order of all windows up to that depth: all but
+the first of equal neighbours are later copies. A phrase that the parse holds again is a later copy as a whole, so
+repetitive text costs what its dictionary costs.
 
-Texts travel in packed chunks of bounded size; a table of chunks is written once and both later passes read it.
+A trigger with very many phrases, as at the edge of a passage that many documents share, is split: its windows are dealt
+by their own hash, with no need to bring its phrases together. Texts travel in packed chunks of bounded size; a table of
+chunks is written once and both later passes read it.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ from .jaccard_join import groups, pack64, pack_flat, unpack64, unpack_flat
 
 WINDOW = 100
 GRAM = 32
+RESIDUE = 64
+#: Distinct phrases of a trigger that are compared in one task; above that each window is dealt by its own hash.
+MANY_PHRASES = 20_000
 
 #: kind 0: a chunk's ids and texts. 1: phrases of a part. 2: places to remove. 3: places to compare. 4: their bytes.
+#: 5: places to compare of a trigger with many phrases. 6: hashes and places of their windows.
 ROWS = "kind int, part long, chunk long, n long, a binary, b binary"
 _NAMES = ("kind", "part", "chunk", "n", "a", "b")
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -88,7 +97,8 @@ def phrases_of(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
         return none
     sums = B.prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
-    low = B.span_hashes(sums, at, at + gram)
+    grams = B.span_hashes(sums, at, at + gram)
+    low = np.where(grams % np.uint64(RESIDUE) == 0, np.uint64(0), grams)  # the first such gram of a window is its trigger
     place = at.astype(np.int32)
     reach, width = 1, window - gram + 1
     while reach < width:  # the first smallest gram of `reach` consecutive ones, doubled; the last step overlaps
@@ -110,8 +120,8 @@ def phrases_of(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     heads = np.flatnonzero(head)
     n = np.diff(np.append(heads, len(starts)))
     first, row = starts[heads], owner[heads]
-    # Smallest hashes crowd near 0; mixed once more they deal evenly.
-    return B.mix(low[first]), B.span_hashes(sums, first, first + n + window - 1), row, first - offsets[row], n
+    # Residues and smallest hashes leave bits that say nothing; mixed once more they deal evenly.
+    return B.mix(grams[trigger[heads]]), B.span_hashes(sums, first, first + n + window - 1), row, first - offsets[row], n
 
 
 def first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +170,7 @@ def by_chunk(kind: int, chunk: np.ndarray, places: np.ndarray, triggers: np.ndar
     return [(kind, 0, int(chunk[a]), b - a, pack_rows(places[a:b]), more(a, b)) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)], strict=True)] if len(chunk) else []
 
 
-def rank_fn():
+def rank_fn(many: int):
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Later copies of a phrase go; of triggers with several phrases, the first place of each is to be compared."""
         for _, rows in groups(batches, "part"):
@@ -181,78 +191,142 @@ def rank_fn():
                     places[f] = p[f]
                 out += by_chunk(2, c[~head], places[~head])
                 t, c, places = t[head], c[head], places[head]
-                alone = np.ones(len(t), dtype=bool)
-                alone[1:] &= t[1:] != t[:-1]
-                alone[:-1] &= t[1:] != t[:-1]
-                out += by_chunk(3, c[~alone], places[~alone], t[~alone])
+                begins = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.empty(0, np.int64)
+                sizes = np.diff(np.append(begins, len(t)))
+                several = np.repeat(sizes, sizes)
+                for kind, which in ((3, (several > 1) & (several <= many)), (5, several > max(many, 1))):
+                    out += by_chunk(kind, c[which], places[which], t[which])
             yield from emit(out)
 
     return rank
 
 
+def dealt_bounds(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Part, begin and end of runs of ascending keys that go to one part."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True) if len(keys) else ():
+        yield int(part[low]), low, high
+
+
 def fetch_fn(parts: int, window: int):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the phrases to compare, dealt by trigger."""
+        """The bytes of the phrases to compare, dealt by trigger; of triggers with many phrases the windows, by their hash."""
         for chunk, rows in groups(batches, "chunk"):
-            texts, wanted, triggers = None, [], []
+            texts, wanted, triggers = None, {3: [], 5: []}, []
             for kind, n, a, b in zip(*[rows.column(c).to_pylist() for c in ("kind", "n", "a", "b")], strict=True):
                 if kind == 0:
                     texts = (n, a, b)
                 else:
-                    wanted.append(unpack_rows(a, n, PLACE))
-                    triggers.append(unpack_flat(b, n, "<u8"))
-            if not wanted:
+                    wanted[kind].append(unpack_rows(a, n, PLACE))
+                    if kind == 3:
+                        triggers.append(unpack_flat(b, n, "<u8"))
+            if not wanted[3] and not wanted[5]:
                 continue
             _, ids, data, offsets = open_chunk(*texts)
-            w, trigger = np.concatenate(wanted), np.concatenate(triggers)
-            start, n = offsets[w["row"]] + w["start"], w["n"].astype(np.int64)
-            order = np.argsort(trigger)
-            w, start, n, trigger = w[order], start[order], n[order], trigger[order]
-            part = ((trigger >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.flatnonzero(np.diff(part)) + 1
             out = []
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(w)], strict=True):
-                own = np.zeros(high - low, dtype=PHRASE)
-                x = w[low:high]
-                own["id"], own["row"], own["start"], own["n"] = ids[x["row"]], x["row"], x["start"], x["n"]
-                raw = data[B.ranges(start[low:high], n[low:high] + window - 1)].tobytes()
-                out.append((4, int(part[low]), chunk, high - low, pack_rows(own), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)))
+            if wanted[3]:
+                w, trigger = np.concatenate(wanted[3]), np.concatenate(triggers)
+                start, n = offsets[w["row"]] + w["start"], w["n"].astype(np.int64)
+                order = np.argsort(trigger)
+                w, start, n = w[order], start[order], n[order]
+                for part, low, high in dealt_bounds(trigger[order], parts):
+                    own = np.zeros(high - low, dtype=PHRASE)
+                    x = w[low:high]
+                    own["id"], own["row"], own["start"], own["n"] = ids[x["row"]], x["row"], x["start"], x["n"]
+                    raw = data[B.ranges(start[low:high], n[low:high] + window - 1)].tobytes()
+                    out.append((4, part, chunk, high - low, pack_rows(own), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)))
+            if wanted[5]:
+                w = np.concatenate(wanted[5])
+                n = w["n"].astype(np.int64)
+                row, start = np.repeat(w["row"], n), B.ranges(w["start"].astype(np.int64), n)
+                at = offsets[row] + start
+                own = np.zeros(len(at), dtype=PHRASE)
+                own["hash"], own["id"], own["row"], own["start"], own["n"] = B.span_hashes(B.prefix_sums(data), at, at + window), ids[row], row, start, 1
+                order, head = first_of([own["start"], own["row"], own["id"], np.zeros(len(own), np.int8), own["hash"]])
+                again = own[order[~head]]  # copies in the chunk are later ones already
+                if len(again):
+                    places = np.zeros(len(again), dtype=PLACE)
+                    places["row"], places["start"], places["n"] = again["row"], again["start"], 1
+                    out.append((2, chunk % parts, chunk, len(again), pack_rows(places), b""))
+                own = own[order[head]]
+                for part, low, high in dealt_bounds(own["hash"], parts):
+                    out.append((6, part, chunk, high - low, pack_rows(own[low:high]), b""))
             yield from emit(out)
 
     return fetch
 
 
+def ranks_of(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(keys)
+    step = np.empty(len(keys), dtype=np.int64)
+    step[:1] = 0
+    step[1:] = keys[order][1:] != keys[order][:-1]
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.cumsum(step)
+    return out
+
+
+def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of the suffix at each place but the last depth - 1, by its first `depth` bytes."""
+    n = len(data) - depth + 1
+    h = min(depth, 8)
+    key = np.zeros(len(data) - h + 1, dtype=np.uint64)
+    for k in range(h):
+        key = (key << np.uint64(8)) | data[k : len(data) - h + 1 + k]
+    ranks = ranks_of(key)
+    while h < depth:
+        step = min(h, depth - h)  # the last step overlaps
+        ranks = ranks_of(ranks[: len(ranks) - step] * (len(ranks) + 1) + ranks[step:])
+        h += step
+    return ranks[:n]
+
+
 def compare_fn(window: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of different phrases of one trigger: all but the first of equal ones go."""
+        """Windows of different phrases of one trigger, in the order of their suffixes: all but the first of equal ones go."""
         for _, rows in groups(batches, "part"):
-            own, chunks, raw = [], [], []
-            for chunk, n, a, b in zip(*[rows.column(c).to_pylist() for c in ("chunk", "n", "a", "b")], strict=True):
-                own.append(unpack_rows(a, n, PHRASE))
-                chunks.append(np.full(n, chunk))
-                raw.append(pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True))
-            p, c = np.concatenate(own), np.concatenate(chunks)
-            data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-            n = p["n"].astype(np.int64)
-            ends = np.cumsum(n + window - 1)
-            at = B.ranges(ends - (n + window - 1), n)
-            suffix = B.span_hashes(B.prefix_sums(data), at, at + window)
-            which = np.repeat(np.arange(len(p)), n)
-            start = p["start"][which].astype(np.int64) + B.ranges(np.zeros(len(n), np.int64), n)
-            order, head = first_of([start, p["row"][which], c[which], p["id"][which], np.zeros(len(which), np.int8), suffix])
-            gone = order[~head]
-            places = np.zeros(len(gone), dtype=PLACE)
-            places["row"], places["start"], places["n"] = p["row"][which[gone]], start[gone], 1
-            chunk = c[which[gone]]
-            by = np.lexsort((places["start"], places["row"], chunk))
-            places, chunk = places[by], chunk[by]
-            if len(places):  # neighbours join
-                head = np.ones(len(places), dtype=bool)
-                head[1:] = (chunk[1:] != chunk[:-1]) | (places["row"][1:] != places["row"][:-1]) | (places["start"][1:] != places["start"][:-1] + 1)
-                heads = np.flatnonzero(head)
-                joined = places[heads].copy()
-                joined["n"] = np.diff(np.append(heads, len(places)))
-                yield from emit(by_chunk(2, chunk[heads], joined))
+            own, chunks, raw, single, single_chunks, out = [], [], [], [], [], []
+            for kind, chunk, n, a, b in zip(*[rows.column(c).to_pylist() for c in ("kind", "chunk", "n", "a", "b")], strict=True):
+                if kind == 2:
+                    out.append((2, 0, chunk, n, a, b""))
+                elif kind == 6:
+                    single.append(unpack_rows(a, n, PHRASE))
+                    single_chunks.append(np.full(n, chunk))
+                else:
+                    own.append(unpack_rows(a, n, PHRASE))
+                    chunks.append(np.full(n, chunk))
+                    raw.append(pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True))
+            gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, row, start
+            if own:
+                p, c = np.concatenate(own), np.concatenate(chunks)
+                n = p["n"].astype(np.int64)
+                ends = np.cumsum(n + window - 1)
+                at = B.ranges(ends - (n + window - 1), n)
+                rank = suffix_ranks(np.frombuffer(b"".join(raw), dtype=np.uint8), window)[at]
+                which = np.repeat(np.arange(len(p)), n)
+                start = p["start"][which].astype(np.int64) + B.ranges(np.zeros(len(n), np.int64), n)
+                order, head = first_of([start, p["row"][which], c[which], p["id"][which], np.zeros(len(which), np.int8), rank])
+                later = order[~head]
+                gone.append((c[which[later]], p["row"][which[later]], start[later]))
+            if single:
+                p, c = np.concatenate(single), np.concatenate(single_chunks)
+                order, head = first_of([p["start"], p["row"], c, p["id"], np.zeros(len(p), np.int8), p["hash"]])
+                later = order[~head]
+                gone.append((c[later], p["row"][later], p["start"][later]))
+            if gone:
+                chunk, row, start = (np.concatenate(x) for x in zip(*gone, strict=True))
+                by = np.lexsort((start, row, chunk))
+                chunk, row, start = chunk[by], row[by], start[by]
+                if len(chunk):  # neighbours join
+                    head = np.ones(len(chunk), dtype=bool)
+                    head[1:] = (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+                    heads = np.flatnonzero(head)
+                    joined = np.zeros(len(heads), dtype=PLACE)
+                    joined["row"], joined["start"], joined["n"] = row[heads], start[heads], np.diff(np.append(heads, len(chunk)))
+                    out += by_chunk(2, chunk[heads], joined)
+            yield from emit(out)
 
     return compare
 
@@ -286,7 +360,7 @@ def remove_fn(window: int):
     return remove
 
 
-def dedup_substrings(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, slab: int = B.SLAB) -> DataFrame:
+def dedup_substrings(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, slab: int = B.SLAB, many: int = MANY_PHRASES) -> DataFrame:
     """doc_id, n_bytes, spans, kept of every document row: the removed byte runs [s, e, s, e, ...] and the bytes that stay.
 
     A byte goes if a window of equal bytes that covers it also starts earlier, in a smaller id or earlier in the same
@@ -305,7 +379,7 @@ def dedup_substrings(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     def dealt(df: DataFrame, key: str) -> DataFrame:
         return df.repartition(tasks, key).sortWithinPartitions(key)
 
-    flags = cut(dealt(chunks.mapInArrow(deal_fn(parts, window, gram), ROWS), "part").mapInArrow(rank_fn(), ROWS), "phrases")
-    wanted = dealt(chunks.unionAll(flags.where("kind = 3")), "chunk").mapInArrow(fetch_fn(parts, window), ROWS)
+    flags = cut(dealt(chunks.mapInArrow(deal_fn(parts, window, gram), ROWS), "part").mapInArrow(rank_fn(many), ROWS), "phrases")
+    wanted = dealt(chunks.unionAll(flags.where("kind IN (3, 5)")), "chunk").mapInArrow(fetch_fn(parts, window), ROWS)
     more = cut(dealt(wanted, "part").mapInArrow(compare_fn(window), ROWS), "windows")
     return dealt(chunks.unionAll(flags.where("kind = 2")).unionAll(more), "chunk").mapInArrow(remove_fn(window), RESULT)
