@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import cut, free_name, need
+from .common import cut, free_name, need, release
 from .graph import components
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
 SLAB = 1 << 20
-MAX_ROUNDS = 40
+#: The most pivots a list has in a round; Spark picks so few in each task before it shuffles them.
+MAX_PIVOTS = 1_000
 
 DEALT = "kind int, part long, chunk long, a binary, b binary, n long"
 
@@ -113,8 +114,8 @@ def deal_fn(parts: int, k: int, slab: int):
                     s = np.add.reduceat(B.mix(values ^ np.uint64(salt)), heads) if len(values) else np.zeros(n, np.uint64)
                     signs.append(np.where(none, np.uint64(0), s).view(np.int64))
                 order = np.argsort(values)
-                values, owner = values[order] >> np.uint64(16), rows[order]
-                bucket = ((values >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+                values, owner = values[order], rows[order]
+                bucket = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 bounds = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)) if len(values) else []
                 docs = pa.RecordBatch.from_arrays([ids.slice(low, n), pa.array(counts), pa.array(signs[0]), pa.array(signs[1])], names=["id", "n", "s1", "s2"])
@@ -255,35 +256,37 @@ def shingle_sets(documents: DataFrame, *, id_col: str, text_col: str, k: int, th
 
 
 def find_links(sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, component) of the classes that link with another; nodes are the smallest ids of the classes."""
-    nodes = cut(sets.where("probes IS NOT NULL").select("doc_id", "n", F.col("n_shared").alias("m"), "tokens", "held"), "jaccard-nodes")
-    lists = sets.where("probes IS NOT NULL").select("doc_id", "n", F.col("n_shared").alias("m"), F.posexplode("probes").alias("i", "token"))
-    lists = lists.select("doc_id", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("at"), "token")
+    """(node, component) of the classes that link with another; nodes are the smallest ids of the classes.
+
+    A list, the documents under one shingle, is never gathered in a task: what a round has to know of lists is aggregated
+    and joined back, and the joins are plain ones that Spark splits at a long list.
+    """
+    probing = sets.where("probes IS NOT NULL")
+    nodes = cut(probing.select("doc_id", "n", F.col("n_shared").alias("m"), "tokens", "held"), "jaccard-nodes")
+    lists = probing.select("doc_id", "n", F.col("n_shared").alias("m"), F.posexplode("probes").alias("i", "token"))
+    lists = cut(lists.select("doc_id", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("at"), "token", F.col("doc_id").alias("c")), "jaccard-lists")
     # What two sets of these sizes have to share, and so how far into either the first shared shingle can lie.
     overlap = lambda a, b: F.ceil(threshold * (a + b) / (100 + threshold))
-    many = Window.partitionBy("token")
-    lists = cut(lists.withColumn("size", F.count(F.lit(1)).over(many)).where("size > 1").drop("size"), "jaccard-lists")
     labels = links = tested = None
-    for turn in range(MAX_ROUNDS):
-        if labels is None:
-            state = lists.withColumn("c", F.col("doc_id"))
-        else:
-            state = lists.join(labels, lists.doc_id == labels.node, "left").select("doc_id", "n", "m", "at", "token", F.coalesce("component", "doc_id").alias("c"))
-        by = Window.partitionBy("token")
-        state = state.withColumn("least", F.greatest(F.min("n").over(by), F.ceil(threshold * F.col("n") / 100)))
+    turn = 0
+    while True:
+        # Lists within one component are done.
+        stats = cut(lists.groupBy("token").agg(F.min("n").alias("least"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").drop("low", "high"), "jaccard-stats")
+        if stats.isEmpty():
+            break
+        state = lists.join(stats, "token").withColumn("least", F.greatest("least", F.ceil(threshold * F.col("n") / 100)))
         # Two sets share at most what either shares with any other, and the first shared shingle comes early in both.
         state = state.where((F.col("m") >= overlap(F.col("n"), F.col("least"))) & (F.col("at") <= F.col("n") - overlap(F.col("n"), F.col("least"))))
-        state = state.withColumns({"low": F.min("c").over(by), "high": F.max("c").over(by), "members": F.count(F.lit(1)).over(Window.partitionBy("token", "c"))}).where("low < high")
+        state = cut(state.drop("least"), "jaccard-state")
         # Pivots: members of the components with the fewest members in the list, more of them each round; first those with
         # the smallest share of shingles of their own, as the original of many copies has.
-        ranked = state.withColumn("r", F.row_number().over(by.orderBy("members", F.col("n") / F.col("m"), "c", "doc_id")))
-        ranked = cut(ranked.select("token", "doc_id", "n", "m", "at", "c", "r"), "jaccard-state")
-        if ranked.isEmpty():
-            break
-        pivots = ranked.where(F.col("r") <= 4**turn).select("token", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("m").alias("mp"), F.col("at").alias("ap"), F.col("c").alias("cp"))
+        members = cut(state.groupBy("token", "c").agg(F.count(F.lit(1)).alias("members")), "jaccard-members")
+        first = Window.partitionBy("token").orderBy("members", F.col("n") / F.col("m"), "c", "doc_id")
+        chosen = state.join(members, ["token", "c"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= min(4**turn, MAX_PIVOTS))
+        pivots = cut(chosen.select("token", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("m").alias("mp"), F.col("at").alias("ap"), F.col("c").alias("cp")), "jaccard-pivots")
         need_both = overlap(F.col("n"), F.col("np"))
         reach = (F.least("m", "mp") >= need_both) & (F.col("at") <= F.col("n") - need_both) & (F.col("ap") <= F.col("np") - need_both)
-        pairs = ranked.join(pivots, "token").where((F.col("c") != F.col("cp")) & (100 * F.least("n", "np") >= threshold * F.greatest("n", "np")) & reach)
+        pairs = state.join(pivots, "token").where((F.col("c") != F.col("cp")) & (100 * F.least("n", "np") >= threshold * F.greatest("n", "np")) & reach)
         pairs = pairs.select(F.least("doc_id", "p").alias("x"), F.greatest("doc_id", "p").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
@@ -292,11 +295,19 @@ def find_links(sets: DataFrame, threshold: int) -> DataFrame:
         found = cut(pairs.join(side("y"), "y").join(side("x"), "x").mapInArrow(verify_fn(threshold), "x long, y long"), "jaccard-links")
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
+        left = state.join(pivots.select("token", F.col("p").alias("doc_id")), ["token", "doc_id"], "left_anti").drop("c")
         if not found.isEmpty():
+            release(labels)
             labels = cut(components(links, "x", "y"), "jaccard-labels")
-        lists = ranked.where(F.col("r") > 4**turn).select("doc_id", "n", "m", "at", "token")
-    else:
-        raise RuntimeError(f"lists still span components after {MAX_ROUNDS} rounds")
+        if labels is None:
+            after = left.withColumn("c", F.col("doc_id"))
+        else:
+            after = left.join(labels, left.doc_id == labels.node, "left").select("doc_id", "n", "m", "at", "token", F.coalesce("component", "doc_id").alias("c"))
+        after = cut(after.select("doc_id", "n", "m", "at", "token", "c"), "jaccard-lists")
+        release(lists, stats, state, members, pivots)
+        lists = after
+        turn += 1
+    release(lists, stats, nodes)
     if labels is None:
         return sets.sparkSession.createDataFrame([], "node long, component long")
     return labels
@@ -308,16 +319,21 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     Words are lower-cased in A-Z and split at ASCII white space. Two rows link when 100 * shared >= threshold * union.
     Null and empty texts have no shingles and link with nothing. Rows of one id are joined as if they were one document
     wherever their sets link. A row with a null id joins nothing. Empty tables give an empty result; other columns are
-    ignored. Shingles are told apart by 64-bit hashes, between documents by 48 bits of them.
+    ignored. Shingles are told apart by 64-bit hashes.
     """
     need(documents, id_col, text_col)
     sets = shingle_sets(documents, id_col=id_col, text_col=text_col, k=k, threshold=threshold, slab=slab)
     light = sets.select("doc_id", "n", "s1", "s2")
-    classes = light.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = cut(light.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-members")
-    probing = sets.where("probes IS NOT NULL").join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+    full = light.where("n > 0")
+    # Read back, both sides of the join are plain exchanges, which Spark splits at a large class.
+    classes = cut(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "jaccard-classes")
+    several = classes.where("size > 1 AND rep IS NOT NULL").drop("size")
+    members = cut(full.join(several, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-members")
+    alone = members.where("doc_id = rep").select("doc_id").distinct()
+    probing = sets.where("probes IS NOT NULL").join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     labels = find_links(probing, threshold)
-    return members.join(labels, members.rep == labels.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    linked = members.join(labels, members.rep == labels.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return linked.unionAll(light.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
