@@ -322,7 +322,7 @@ def test_other_tokenizers_encode_whole_texts():
 
 
 def test_licenses(docs, spark, rows):
-    texts = [*[t for _, t in rows], "Under the GNU general\npublic  LICENSE. mit license cc-by; the MIT License", "Released under the MIT License.", "this work is, licensed under the gnu public license (version 3)", "K mit licenſe", "permit license"]
+    texts = [*[t for _, t in rows], "Under the GNU general\npublic  LICENSE. mit license cc-by; the MIT License", "Released under the MIT License.", "this work is, licensed under the gnu public license (version 3)", "K mit licenſe", "permit license", "x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met\ny"]
     got = {r.doc_id: r for r in licenses.scan(table(spark, list(enumerate(texts)))).collect()}
     for i, t in enumerate(texts):
         r = got[i]
@@ -330,11 +330,15 @@ def test_licenses(docs, spark, rows):
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
     n = len(rows)
     assert got[n].labels == "cc-by,gpl,mit" and got[n + 2].labels == "gpl" and got[n + 2].n_base == 0 and 0.8 <= got[n + 2].score < 1
+    assert got[n + 5].labels == "bsd" and got[n + 5].score == 1
+    same = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License."), (1, "no notice"), (None, "Released under the MIT License.")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.labels) for r in same) == [(0, "mit"), (1, ""), (1, "mit")]
     # Every block and template by definition.
     for i, t in enumerate(texts):
         best = {}
-        for line in (t or "").split("\n"):
-            b = set(plain.WORD.findall(plain.lower(line)))
+        lines = [plain.WORD.findall(plain.lower(x)) for x in (t or "").split("\n")]
+        runs = [sum(lines[i : i + n], []) for i in range(len(lines)) for n in range(1, licenses.MAX_LINES + 1) if n == 1 or i + n <= len(lines) and lines[i] and sum(map(len, lines[i : i + n])) <= licenses.MAX_BLOCK_WORDS]
+        for b in map(set, runs):
             for label, notice in licenses.TEMPLATES:
                 w = set(licenses.words_of(notice))
                 if len(b & w) >= 0.8 * len(w) - 1e-9:

@@ -1,11 +1,12 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with license templates, in DataFrame expressions only.
+"""License scans: an exact set-similarity join of text blocks with license templates, in DataFrame expressions only.
 
-Tokens are ordered by how many blocks of the corpus hold them, rarest first. A block meets a template when it holds at
+Blocks are the lines of a text, and runs of two to MAX_LINES short lines with MAX_BLOCK_WORDS words together at most, so a
+notice that is wrapped is found as one on a line is. Tokens are ordered by how many blocks of the corpus hold them, rarest first. A block meets a template when it holds at
 least the threshold's share of the template's words; then it must hold one of the template's first
 |T| - ceil(t |T|) + 1 words in that order (prefix filter), have enough words (length filter), and enough must be left
 after the first shared word on either side (positional filter). What passes is verified by intersection.
 
-The templates are a bounded parameter, so all that is collected is one count per template word.
+The templates are a parameter, and all that is collected is one count per template word.
 """
 
 from __future__ import annotations
@@ -25,17 +26,28 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Label and notice.
 TEMPLATES = (
+    ("agpl", "This program is free software under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "This library is free software and may be used under the terms of the GNU Lesser General Public License"),
     ("mit", "Released under the MIT License."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "Copyright the authors. All rights reserved."),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("zlib", "This software is provided as is, without any express or implied warranty. In no event will the authors be held liable"),
 )
-MAX_TEMPLATE_WORDS = 20_000
+#: Up to so many words of all templates, the join's small side is broadcast.
+BROADCAST_WORDS = 20_000
+MAX_LINES = 4
+MAX_BLOCK_WORDS = 60
 
 
 def words_of(text: str) -> list[str]:
@@ -58,7 +70,7 @@ def lowered(text):
 
 
 def tokenized(documents: DataFrame, phrases, vocabulary: list[str]) -> DataFrame:
-    """One pass over the texts: n_words, the places of phrases, and the lines that hold any word of a template.
+    """One pass over the texts: n_words, the places of phrases, and the blocks that hold any word of a template.
 
     A phrase is searched for only where all its words are somewhere in the text.
     """
@@ -78,21 +90,29 @@ def tokenized(documents: DataFrame, phrases, vocabulary: list[str]) -> DataFrame
     found = counted.withColumn("__places", F.filter(F.array(*[place(*p) for p in phrases]), lambda x: x.n > 0))
     listed = F.array(*[F.lit(w) for w in vocabulary])
     block = lambda words, i: F.struct(i.alias("block"), F.size(F.array_distinct(words)).alias("n_tokens"), F.array_intersect(words, listed).alias("tokens"))
-    return found.select(
+    joined = found.withColumn("__joined", F.expr(joined_lines("__lines")))
+    return joined.select(
         "__key",
+        "__id",
         "n_words",
         F.coalesce(F.aggregate("__places", F.lit(0).cast("long"), lambda a, x: a + x.n), F.lit(0).cast("long")).alias("n_base"),
         F.array_min(F.transform("__places", lambda x: x.first)).alias("first_word"),
         F.array_max(F.transform("__places", lambda x: x.last)).alias("last_word"),
         F.coalesce(F.transform("__places", lambda x: x.label), F.expr("CAST(array() AS array<string>)")).alias("__base"),
-        F.filter(F.transform("__lines", block), lambda b: F.size(b.tokens) > 0).alias("__blocks"),
+        F.filter(F.concat(F.transform("__lines", block), F.transform("__joined", lambda words, i: block(words, i + F.size("__lines")))), lambda b: F.size(b.tokens) > 0).alias("__blocks"),
     )
 
 
+def joined_lines(lines: str) -> str:
+    """SQL: the words of each run of 2 to MAX_LINES lines that has MAX_BLOCK_WORDS words at most and begins with some."""
+    few = f"aggregate(slice({lines}, i + 1, w), 0, (a, x) -> a + size(x)) <= {MAX_BLOCK_WORDS}"
+    runs = f"transform(filter(sequence(2, {MAX_LINES}), w -> i + w <= size({lines}) AND {few}), w -> flatten(slice({lines}, i + 1, w)))"
+    begins = f"filter(sequence(0, size({lines}) - 2), i -> size({lines}[i]) > 0 AND size({lines}[i]) + size({lines}[i + 1]) <= {MAX_BLOCK_WORDS})"
+    return f"IF(size({lines}) < 2, CAST(array() AS array<array<string>>), flatten(transform({begins}, i -> {runs})))"
+
+
 def template_sets(templates) -> list[tuple[str, list[str]]]:
     sets = [(label, sorted(set(words_of(text)))) for label, text in templates]
-    if sum(len(t) for _, t in sets) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
     return [(label, tokens) for label, tokens in sets if tokens]
 
 
@@ -108,7 +128,9 @@ def matches(blocks: DataFrame, sets: list[tuple[str, list[str]]], threshold: flo
         least = math.ceil(threshold * len(tokens) - 1e-9)
         rows += [(w, i, label, tokens, len(tokens), least) for i, w in enumerate(tokens[: len(tokens) - least + 1])]
     spark = blocks.sparkSession
-    prefixes = F.broadcast(spark.createDataFrame(rows, "w string, i int, label string, template array<string>, size int, least int"))  # bounded by MAX_TEMPLATE_WORDS
+    prefixes = spark.createDataFrame(rows, "w string, i int, label string, template array<string>, size int, least int")
+    if sum(len(t) for _, t in sets) <= BROADCAST_WORDS:
+        prefixes = F.broadcast(prefixes)
     ordered = blocks.withColumn("tokens", F.array_sort(F.transform("tokens", lambda w: F.struct(F.array_position(F.array(*[F.lit(x) for x in order]), w).alias("r"), w.alias("w")))))
     probes = ordered.select("__key", "block", "n_tokens", "tokens", F.posexplode("tokens").alias("j", "t")).select("*", F.col("t.w").alias("w")).join(prefixes, "w")
     passed = probes.where((F.col("n_tokens") >= F.col("least")) & (F.size("tokens") >= F.col("least")))  # length
@@ -124,11 +146,11 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document row.
 
     score: 1 where a phrase stands, else the largest containment of a template that meets the threshold, else 0. Null and
-    empty texts have no words, no labels and score 0. Rows that repeat an id share the labels that any of them found.
-    A row with a null id has base labels only. Other columns are ignored; an empty table gives an empty result.
+    empty texts have no words, no labels and score 0. Every row is judged by its own text, also where ids repeat or are
+    null. Other columns are ignored; an empty table gives an empty result.
     """
     need(documents, id_col, text_col)
-    docs = documents.select(F.col(id_col).alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    docs = documents.select(F.monotonically_increasing_id().alias("__key"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     sets = template_sets(templates)
     counted = cut(tokenized(docs, phrases, sorted({w for _, t in sets for w in t})), "license-blocks")
     blocks = counted.select("__key", F.explode("__blocks").alias("b")).select("__key", "b.*")
@@ -137,7 +159,7 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     none = F.expr("CAST(array() AS array<string>)")
     joined = counted.join(found, "__key", "left")
     return joined.select(
-        F.col("__key").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        F.col("__id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.sort_array(F.array_distinct("__base")), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_distinct(F.concat("__base", F.coalesce("__labels", none)))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("__score", F.lit(0.0))).alias("score"),

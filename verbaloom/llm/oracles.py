@@ -36,7 +36,12 @@ places AS (
   WHERE list_slice(w, i, i + len(p) - 1) = p
 ),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all({_LOWER.format("line")}, '{_W}')) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+ll AS (SELECT doc_id, list_transform(string_split({_LOWER.format("text")}, chr(10)), lambda x: regexp_extract_all(x, '{_W}')) AS ls FROM d),
+runs AS (SELECT doc_id, ls, i, unnest(generate_series(1, {licenses.MAX_LINES})) AS n FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM ll)),
+blocks AS (
+  SELECT doc_id, list_distinct(flatten(list_slice(ls, i, i + n - 1))) AS b FROM runs
+  WHERE n = 1 OR i + n - 1 <= len(ls) AND len(ls[i]) > 0 AND list_sum(list_transform(list_slice(ls, i, i + n - 1), lambda x: len(x))) <= {licenses.MAX_BLOCK_WORDS}
+),
 found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM blocks, t WHERE len(b) >= 1 AND len(list_intersect(b, t)) >= ceil(0.8 * len(t) - 1e-9)),
 best AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS ls FROM found GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
