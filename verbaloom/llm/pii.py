@@ -1,12 +1,13 @@
 """Personal data: base patterns, and a skip-chain conditional random field that makes labels agree within a document.
 
-The base patterns find emails, addresses, cards and phones. Their spans label the tokens of a bounded sample, on which the
-field is trained piecewise: token features by logistic regression; neighbours and repeats by how much oftener than
-chance two labels meet. Tokens with a digit or an @ are the field's variables, all others are observed to be no entity.
-Chain edges join neighbours; skip edges join each token to the next one that repeats it or holds the same digits,
-however far off, so a number that is plain in one place carries its label to the others. Loopy sum-product passes
-messages for all documents of a slab at once. A token whose belief in a label passes the limit adds a span, unless it
-touches a base span; base spans always stay.
+The base patterns find emails, addresses, cards and phones. Their spans label the tokens of a bounded sample, on which node,
+chain and skip weights are trained together by pseudo-likelihood. Tokens with a digit, an @ or a written-out at are the
+field's variables, all others are observed to be no entity. Chain edges join neighbours. Skip edges join mentions of one
+value, however far apart and however they are written: the same token, a run of tokens with the same digits (a phone in
+groups and in one piece), four numbers that make one address, one email with its signs spelt out. Each mention is joined to
+the one before it and to one that a base pattern has found. Loopy sum-product passes messages for all documents of a slab
+at once until they settle. A token whose belief in a label passes the limit adds a span, unless it touches a base span;
+base spans always stay.
 """
 
 from __future__ import annotations
@@ -30,8 +31,17 @@ SAMPLE_DOCUMENTS = 2_000
 SAMPLE_CHARS = 4_000
 SAMPLE_FROM = 8
 MIN_BELIEF = 0.9
-ROUNDS = 8
-MAX_SHAPES = 300
+#: Messages have settled when none changes by more; loopy graphs needn't settle, so rounds end at a fixed number.
+SETTLED = 1e-3
+ROUNDS = 200
+#: Features of the field, the most frequent first; a rarer one counts as unknown. Only the first characters of a token
+#: make its shape; what is labelled is the whole token.
+MAX_FEATURES = 2_400
+SHAPE_CHARS = 64
+#: What mentions of one value gain by agreeing, before training; training moves it.
+AGREEMENT = 7.0
+#: The share of tokens without a base span that training takes to be entities the patterns missed.
+MISSED = 0.05
 
 _RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,12 +99,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Runs of digits and of letters as one mark each; long shapes count as one."""
-    s = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", token[:64]))
+    s = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", token[:SHAPE_CHARS]))
     return s if len(s) <= 16 else "long"
 
 
+def spelt(token: str) -> str:
+    """An email with its at and dots as signs, in lower case."""
+    return re.sub(r"[(\[{]dot[)\]}]", ".", re.sub(r"[(\[{]at[)\]}]", "@", token.lower()))
+
+
+class Mention:
+    """A variable token: where it stands, its digits, and the run of number tokens it belongs to."""
+
+    __slots__ = ("place", "token", "start", "end", "digits", "run", "run_digits")
+
+    def __init__(self, place: int, token: str, start: int) -> None:
+        self.place, self.token, self.start, self.end = place, token, start, start + len(token)
+        self.digits = "".join(c for c in token if c in "0123456789")
+        self.run, self.run_digits = -1, ""
+
+
+def mentions_of(text: str, near: list[re.Match]) -> list[Mention]:
+    """The variables among some tokens, with the runs of numbers that only blanks and brackets part."""
+    out: list[Mention] = []
+    runs: list[list[Mention]] = []
+    for i, m in enumerate(near):
+        token = m[0].strip(_EDGE) or m[0]
+        x = Mention(i, token, m.start() + m[0].index(token))
+        if not x.digits and "@" not in spelt(token):
+            continue
+        number = not token.strip("0123456789+-./()")
+        if number and out and runs and runs[-1][-1] is out[-1] and len(gap := text[out[-1].end : x.start]) <= 3 and not gap.strip(" ()-.") and "+" not in token:
+            runs[-1].append(x)
+        elif number:
+            runs.append([x])
+        out.append(x)
+    for k, run in enumerate(runs):
+        digits = "".join(x.digits for x in run)
+        for x in run:
+            x.run, x.run_digits = k, digits
+    return out
+
+
+def keys_of(x: Mention) -> list[str]:
+    """What a mention says, in ways that other mentions of the same value say too; nothing for tokens that say too little."""
+    out = []
+    if "@" in (plain := spelt(x.token)) and "." in plain.partition("@")[2]:
+        out.append("e" + plain)
+    for digits in {x.digits, x.run_digits}:
+        if len(digits) >= 7:
+            out.append("d" + digits)
+        if len(digits) >= 9:
+            out.append("s" + digits[-9:])  # a number with and without its country code
+    parts = re.findall("[0-9]+", x.token)
+    if len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not x.token.startswith("+"):
+        out.append("i" + ".".join(str(int(p)) for p in parts))
+    return out
+
+
 class Nodes:
-    """The variables of some documents: tokens with a digit or an @, and their neighbours' shapes."""
+    """The variables of some documents, their features and edges."""
 
     def __init__(self) -> None:
         self.doc: list[int] = []
@@ -104,49 +168,50 @@ class Nodes:
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         self.gold: list[int] = []  # the label of the base span that holds the token
-        self.own: list[int] = []  # the label that a base pattern gives the token by itself
 
     def add(self, doc: int, text: str, spans: list[tuple[int, int, int]], near: list[re.Match]) -> None:
-        last: dict[str, int] = {}
-        k, before = 0, None
-        for i, m in enumerate(near):
-            token = m[0].strip(_EDGE) or m[0]
-            start = m.start() + m[0].index(token)
-            end = start + len(token)
-            digits = "".join(c for c in token if c in "0123456789")
-            if not digits and "@" not in token:
-                before = None
-                continue
-            n = len(self.doc)
+        found, base, k = mentions_of(text, near), len(self.doc), 0
+        said: dict[str, list[int]] = {}
+        chained: set[tuple[int, int]] = set()
+        for j, x in enumerate(found):
+            m, i = near[x.place], x.place
             neighbour = lambda j: shape(near[j][0].strip(_EDGE)) if 0 <= j < len(near) and min(abs(near[j].start() - m.end()), abs(near[j].end() - m.start())) <= 2 else "-"  # noqa: B023, E731
-            card = 12 <= len(digits) <= 19 and len(digits) == len(token)
-            parts = token.split(".")
+            card = 12 <= len(x.digits) <= 19 and len(x.digits) == len(x.token)
+            parts = x.token.split(".")
             address = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-            self.features.append((f"s:{shape(token)}", f"d:{min(len(digits), 24)}", f"c:{card and luhn(digits)}", f"i:{address}", f"e:{'@' in token and '.' in token.partition('@')[2]}", f"p:{neighbour(i - 1)}", f"n:{neighbour(i + 1)}"))
-            while k < len(spans) and spans[k][2] <= start:
+            self.features.append((f"s:{shape(x.token)}", f"d:{min(len(x.digits), 24)}", f"c:{card and luhn(x.digits)}", f"i:{address}", f"e:{'@' in x.token and '.' in x.token.partition('@')[2]}", f"p:{neighbour(i - 1)}", f"n:{neighbour(i + 1)}", f"r:{min(len(x.run_digits), 24)}"))
+            while k < len(spans) and spans[k][2] <= x.start:
                 k += 1
-            hits = [x for x in spans[k : k + 4] if x[0] <= start and end <= x[2]]
-            self.gold.append(1 + hits[0][1] if hits else 0)
-            alone = base_spans(token)
-            self.own.append(1 + alone[0][1] if alone and alone[0][0] == 0 and alone[0][2] == len(token) else 0)
+            label, q = 0, k
+            while not label and q < len(spans) and spans[q][0] <= x.start:
+                label = 1 + spans[q][1] if x.end <= spans[q][2] else 0
+                q += 1
+            self.gold.append(label)
             self.doc.append(doc)
-            self.start.append(start)
-            self.end.append(end)
-            chained = before  # the variable that a chain edge joins to this one, if any
-            if chained is not None:
-                self.chain.append((chained, n))
-            before = n
-            keys = ["t" + token.lower()] + (["d" + digits] if len(digits) >= 7 and digits != token else [])
-            for key in {*keys, *(["d" + token] if digits == token and len(digits) >= 7 else [])}:
-                if key in last and last[key] != chained:
-                    self.skip.append((last[key], n))
-                last[key] = n
+            self.start.append(x.start)
+            self.end.append(x.end)
+            n = base + j
+            if j and found[j - 1].place == i - 1:
+                self.chain.append((n - 1, n))
+                chained.add((n - 1, n))
+            for key in keys_of(x):
+                said.setdefault(key, []).append(n)
+        edges: set[tuple[int, int]] = set()
+        run = lambda n: (r := found[n - base].run) >= 0 and r
+        for nodes in said.values():
+            sure = next((n for n in nodes if self.gold[n]), None)
+            for before, n in zip([None, *nodes], nodes):  # noqa: B905
+                for other in {before, sure} - {None, n}:
+                    pair = (min(other, n), max(other, n))
+                    if pair not in chained and (run(other) is False or run(other) != run(n)):
+                        edges.add(pair)
+        self.skip += sorted(edges)
 
 
 def tokens_near(text: str) -> list[re.Match]:
-    """The tokens with a digit or an @ and those next to them, in order; the rest of a long text is passed by."""
+    """The tokens with a digit, an @ or a written-out at, and those next to them, in order; the rest of a text is passed by."""
     out: list[re.Match] = []
-    for m in re.finditer(r"[0-9@]", text):
+    for m in re.finditer(r"[0-9@]|[(\[{][Aa][Tt][)\]}]", text):
         if out and m.start() < out[-1].end():
             continue
         s = m.start()
@@ -176,7 +241,7 @@ class Field:
         self.index, self.weights, self.chain, self.skip = index, weights, chain, skip
 
     def matrix(self, features: list[tuple[str, ...]]) -> np.ndarray:
-        width = len(features[0]) if features else 7
+        width = len(features[0]) if features else 1
         return np.array([[self.index.get(f, 0) for f in row] for row in features], dtype=np.int64).reshape(-1, width)
 
     def node(self, features: list[tuple[str, ...]]) -> np.ndarray:
@@ -187,7 +252,7 @@ class Field:
         """Marginals by loopy sum-product with damping; fixed labels above 0 are evidence."""
         local = self.node(nodes.features)
         known = fixed > 0
-        local[known] = -30.0
+        local[known] = -1e6  # no number of neighbours outvotes what is known
         local[known, fixed[known]] = 0.0
         edges = np.array(nodes.chain + nodes.skip, dtype=np.int64).reshape(-1, 2)
         if len(edges):
@@ -203,22 +268,32 @@ class Field:
                 np.add.at(total, target, messages)
                 sent = np.logaddexp.reduce((total[source] - messages[back])[:, :, None] + table, axis=1)
                 sent -= np.logaddexp.reduce(sent, axis=1, keepdims=True)
+                moved = float(np.abs(sent - messages).max())
                 messages = 0.5 * messages + 0.5 * sent
+                if moved < SETTLED:
+                    break
             np.add.at(local, target, messages)
         return np.exp(local - np.logaddexp.reduce(local, axis=1, keepdims=True))
 
 
-def association(pairs: list[tuple[int, int]], gold: list[int], prior: np.ndarray) -> np.ndarray:
-    """log of how much oftener than chance labels meet on an edge, smoothed towards chance."""
-    joint = 8.0 * np.outer(prior, prior)
-    for a, b in pairs:
-        joint[gold[a], gold[b]] += 0.5
-        joint[gold[b], gold[a]] += 0.5
-    joint /= joint.sum()
-    return np.clip(np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))), -4, 4)
+def neighbour_labels(edges: list[tuple[int, int]], labels: np.ndarray) -> np.ndarray:
+    """How many neighbours of each label a node has."""
+    out = np.zeros((len(labels), len(LABELS)))
+    if edges:
+        e = np.array(edges)
+        np.add.at(out, (e[:, 0], labels[e[:, 1]]), 1)
+        np.add.at(out, (e[:, 1], labels[e[:, 0]]), 1)
+    return out
 
 
 def train(texts: list[str], epochs: int = 300) -> Field:
+    """All weights together, by the pseudo-likelihood of each token's label given its features and its neighbours' labels.
+
+    Base spans are the labels; tokens without one are nothing but for a share that patterns miss. A token that no pattern found but that says the same as one that a pattern did is not known
+    to be nothing, so it isn't trained on. A copy of each labelled token with a labelled mention elsewhere is trained on
+    with its features hidden, so that what mentions tell each other is learnt too. Agreement weights are drawn towards
+    AGREEMENT, all others towards 0.
+    """
     nodes = Nodes()
     for i, t in enumerate(texts):
         nodes.add(i, t, base_spans(t), tokens_near(t))
@@ -226,35 +301,41 @@ def train(texts: list[str], epochs: int = 300) -> Field:
     for row in nodes.features:
         for f in row:
             counts[f] = counts.get(f, 0) + 1
-    common = sorted((f for f in counts if counts[f] >= 3), key=lambda f: (-counts[f], f))[: 7 * MAX_SHAPES]
+    common = sorted((f for f in counts if counts[f] >= 3), key=lambda f: (-counts[f], f))[:MAX_FEATURES]
     index = {f: i + 2 for i, f in enumerate(common)}  # 0: unknown, 1: bias
-    field = Field(index, np.zeros((len(index) + 2, len(LABELS))), np.zeros((5, 5)), np.zeros((5, 5)))
+    agree = AGREEMENT * np.eye(len(LABELS))
+    field = Field(index, np.zeros((len(index) + 2, len(LABELS))), np.zeros((5, 5)), agree.copy())
     if not nodes.features:
         field.weights[1, 0] = 5.0
         return field
-    labels = [g or o for g, o in zip(nodes.gold, nodes.own, strict=True)]
+    labels = np.array(nodes.gold)
     x, y = field.matrix(nodes.features), np.eye(len(LABELS))[labels]
-    prior = (y.sum(axis=0) + 1) / (len(y) + len(LABELS))
-    field.weights[1] = np.log(prior)
-    step = np.zeros_like(field.weights) + 1e-6
+    y[labels == 0] = [1 - MISSED, *[MISSED / len(KINDS)] * len(KINDS)]
+    near, far = neighbour_labels(nodes.chain, labels), neighbour_labels(nodes.skip, labels)
+    sure = (labels > 0) | (far[:, 1:].sum(axis=1) == 0)
+    hidden = np.flatnonzero((labels > 0) & (far[:, 1:].sum(axis=1) > 0))
+    x, y = np.concatenate([x[sure], np.zeros_like(x[hidden])]), np.concatenate([y[sure], y[hidden]])
+    near, far = np.concatenate([near[sure], 0 * near[hidden]]), np.concatenate([far[sure], far[hidden]])
+    seen = np.arange(len(y)) < int(sure.sum())  # the hidden ones have no say in the bias either
+    field.weights[1] = np.log((y[seen].sum(axis=0) + 1) / (seen.sum() + len(LABELS)))
+    parts = [field.weights, field.chain, field.skip]
+    steps = [np.zeros_like(w) + 1e-6 for w in parts]
     for _ in range(epochs):
-        p = np.exp(_scores(field.weights, x))
-        error = p / p.sum(axis=1, keepdims=True) - y
-        grad = 1e-3 * field.weights
-        np.add.at(grad, x.ravel(), np.repeat(error / len(y), x.shape[1], axis=0))
-        grad[1] += error.mean(axis=0)
-        grad[0] = 0
-        step += grad**2
-        field.weights -= 0.5 * grad / np.sqrt(step)
-    field.chain, field.skip = association(nodes.chain, labels, prior), association(nodes.skip, labels, prior)
+        score = field.weights[x].sum(axis=1) + np.outer(seen, field.weights[1]) + near @ field.chain + far @ field.skip
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        error = (p / p.sum(axis=1, keepdims=True) - y) / len(y)
+        grads = [1e-3 * field.weights, near.T @ error + 1e-3 * field.chain, far.T @ error + 1e-3 * (field.skip - agree)]
+        np.add.at(grads[0], x.ravel(), np.repeat(error, x.shape[1], axis=0))
+        grads[0][1] += error[seen].sum(axis=0)
+        grads[0][0] = 0
+        for k in (1, 2):
+            grads[k] = (grads[k] + grads[k].T) / 2
+        for w, g, step in zip(parts, grads, steps, strict=True):
+            step += g**2
+            w -= 0.5 * g / np.sqrt(step)
     return field
 
 
-def _scores(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    s = weights[x].sum(axis=1) + weights[1]
-    return s - s.max(axis=1, keepdims=True)
-
-
 def added_spans(field: Field, texts: list[str], spans: list[list[tuple[int, int, int]]], min_belief: float) -> list[list[tuple[int, int, int]]]:
     """What the field finds beside the base spans; neighbours of one label join if only blanks part them."""
     nodes = Nodes()
@@ -272,7 +353,8 @@ def added_spans(field: Field, texts: list[str], spans: list[list[tuple[int, int,
         d, s, e, k = nodes.doc[i], nodes.start[i], nodes.end[i], int(best[i]) - 1
         if any(a < e and s < b for a, _, b in spans[d]):
             continue
-        if last and last[0] == d and k == 3 and out[d][-1][1] == k and last[1] == i - 1 and not texts[d][out[d][-1][2] : s].strip(" ()-."):
+        # Pieces of one number join if they are not too many digits together.
+        if last and last[0] == d and k in (2, 3) and out[d][-1][1] == k and last[1] == i - 1 and not texts[d][out[d][-1][2] : s].strip(" ()-.") and sum(c in "0123456789" for c in texts[d][out[d][-1][0] : e]) <= (19 if k == 2 else 15):
             out[d][-1] = (out[d][-1][0], k, e)
         else:
             out[d].append((s, k, e))
@@ -280,16 +362,17 @@ def added_spans(field: Field, texts: list[str], spans: list[list[tuple[int, int,
     return out
 
 
+#: What a text has to hold to have a variable: a digit, an @, or a bracket of a written-out at.
+_MARKS = b"0123456789@([{"
 SCHEMA = "doc_id long, base array<struct<start:long,kind:string,end:long>>, added array<struct<start:long,kind:string,end:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
 
-def scan_fn(field: Field, min_belief: float):
+def scan_fn(field: Field, min_belief: float, with_text: bool = False):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = lambda spans: [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans]
         marks = np.zeros(256, dtype=bool)
-        marks[48:58] = True
-        marks[64] = True
+        marks[list(_MARKS)] = True
         for batch in batches:
             texts = batch.column(1)
             for low, high, data, offsets in B.slabs(texts):
@@ -301,12 +384,13 @@ def scan_fn(field: Field, min_belief: float):
                 base, added = [[] for _ in range(high - low)], [[] for _ in range(high - low)]
                 for r, s, m in zip(rows, spans, more, strict=True):
                     base[r], added[r] = told(s), told(m)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).cast(pa.int64()), pa.array(base, _SPAN), pa.array(added, _SPAN)], names=["doc_id", "base", "added"])
+                columns = [batch.column(0).slice(low, high - low).cast(pa.int64()), pa.array(base, _SPAN), pa.array(added, _SPAN)]
+                yield pa.RecordBatch.from_arrays([*columns, *[texts.slice(low, high - low)] * with_text], names=["doc_id", "base", "added", *["text"] * with_text])
 
     return scan
 
 
-def find_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS, sample_chars: int = SAMPLE_CHARS, min_belief: float = MIN_BELIEF, field: Field | None = None) -> DataFrame:
+def find_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS, sample_chars: int = SAMPLE_CHARS, min_belief: float = MIN_BELIEF, field: Field | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, base and added spans (start, kind, end in code points) of every document row.
 
     The field is trained on at most sample_documents texts, chosen by a hash of their id; the scan covers all rows and whole
@@ -320,7 +404,7 @@ def find_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
         sample = docs.where(chosen & (F.length("text") <= sample_chars) & F.col("text").rlike("[0-9@]"))
         field = train([r.text for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_documents).select("text").collect()])
-    return docs.mapInArrow(scan_fn(field, min_belief), SCHEMA)
+    return docs.mapInArrow(scan_fn(field, min_belief, with_text), SCHEMA + (", text string" if with_text else ""))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -332,8 +416,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id and the text with each span replaced by its kind in angle brackets."""
-    found = find_pii(documents, id_col=id_col, text_col=text_col, **options)
-    spans = found.select("doc_id", F.array_sort(F.concat("base", "added")).alias("spans"))
+    """doc_id and the text of every row with each span replaced by its kind in angle brackets.
+
+    Rows that repeat an id or have none stay as many as they are; a null text stays null. An empty table gives an empty
+    result; other columns are ignored.
+    """
+    found = find_pii(documents, id_col=id_col, text_col=text_col, with_text=True, **options)
+    spans = found.select("doc_id", F.col("text").alias("t"), F.array_sort(F.concat("base", "added")).alias("spans"))
     fold = "aggregate(spans, struct(0L AS at, '' AS out), (a, x) -> IF(x.start < a.at, a, struct(x.end AS at, a.out || substring(t, CAST(a.at + 1 AS INT), CAST(x.start - a.at AS INT)) || '<' || x.kind || '>' AS out)), a -> a.out || substring(t, CAST(a.at + 1 AS INT)))"
-    return documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("t")).join(spans, "doc_id").select("doc_id", F.expr(fold).alias("text"))
+    return spans.select("doc_id", F.expr(fold).alias("text"))
