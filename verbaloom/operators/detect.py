@@ -83,8 +83,15 @@ class BatchDetector(Detector):
     labels: tuple[str, ...] | None = None
     batch_size: int = 256
 
+    def __post_init__(self) -> None:
+        if isinstance(self.batch_size, bool) or not isinstance(self.batch_size, int) or self.batch_size < 1:
+            raise ValueError(f"batch_size is a whole number of at least 1, not {self.batch_size!r}")
+
     def column(self, text: Column, top: int | None = None) -> Column:
         opener, size = self.opener, self.batch_size
+        axis = None if self.labels is None else {x: i for i, x in enumerate(self.labels)}
+        # Equal scores come in the order of the model's own axis; without one, by label.
+        order = (lambda s: (-s[1], s[0])) if axis is None else (lambda s: (-s[1], axis.get(s[0], len(axis)), s[0]))
 
         @F.pandas_udf(SCORES)
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -96,7 +103,7 @@ class BatchDetector(Detector):
                 for k in range(0, len(some), size):
                     part = some[k : k + size]
                     for i, scores in zip(part, predict([batch.iloc[i] for i in part]), strict=True):
-                        out[i] = [{"language": a, "score": float(b)} for a, b in sorted(scores, key=lambda s: (-s[1], s[0]))[:top]]
+                        out[i] = [{"language": a, "score": float(b)} for a, b in sorted(scores, key=order)[:top]]
                 yield pd.Series(out)
 
         return score(text)
@@ -196,6 +203,17 @@ def free_name(held, wanted: str) -> str:
     return wanted
 
 
+def label_axis(labels: Iterable[str], code: Callable[[str], str]) -> tuple[str, ...]:
+    """The codes of a model's labels: in the labels' order where each has a code of its own, else sorted and each once."""
+    codes = [code(x) for x in labels]
+    return tuple(codes) if len(set(codes)) == len(codes) else tuple(sorted(set(codes)))
+
+
+def default_policy() -> Policy:
+    """What decides sources for translation where the caller names no policy."""
+    return Policy(min_letters=4, min_score=0.5)
+
+
 def collapse_scores(scores: DataFrame, keys: list[str], code: Column) -> DataFrame:
     """Scores of labels that share a code are summed."""
     return scores.withColumn("language", code).groupBy(*keys, "language").agg(F.sum("score").alias("score"))

@@ -38,3 +38,9 @@ def literals_kept(spans: Column, output: Column) -> Column:
     times = lambda t: F.size(F.filter(texts, lambda y: y == t))
     found = lambda t: (F.length(output) - F.length(F.replace(output, t, F.lit("")))) / F.length(t)
     return F.forall(F.array_distinct(texts), lambda t: found(t) >= times(t))
+
+
+def retention(df: DataFrame, spans: str, output: str, path: str) -> DataFrame:
+    """By preservation path (none: no literals were looked for): texts with literals, those that kept all, and their share."""
+    some = df.where(F.size(spans) > 0).select(F.coalesce(path, F.lit("none")).alias("path"), literals_kept(F.col(spans), F.col(output)).alias("kept"))
+    return some.groupBy("path").agg(F.count(F.lit(1)).alias("texts"), F.count_if("kept").alias("kept"), F.round(F.avg(F.col("kept").cast("int")), 6).alias("share"))

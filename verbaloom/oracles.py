@@ -137,9 +137,15 @@ def _turns(column: str, pattern: str, into: str, times: int) -> str:
     return column
 
 
-_SENT = f"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^[{content.WHITESPACE}]+|[{content.WHITESPACE}]+$', '', 'g'), '[{content.WHITESPACE}]*\\n[{content.WHITESPACE}]*', chr(1), 'g'), '[{_BLANKS}]+', ' ', 'g') AS t FROM documents),
+def sentences(table: str, keys: str) -> str:
+    """CTEs a, b and c: each text with its sentences parted by chr(1), and chr(2) for a blank that parts none."""
+    return _SENT_PARTS.replace("doc_id", keys).replace("documents", table)
+
+
+_SENT_PARTS = f"""a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^[{content.WHITESPACE}]+|[{content.WHITESPACE}]+$', '', 'g'), '[{content.WHITESPACE}]*\\n[{content.WHITESPACE}]*', chr(1), 'g'), '[{_BLANKS}]+', ' ', 'g') AS t FROM documents),
 b AS (SELECT doc_id, {_turns("t", "(^|[ \\x02])(" + _WORD + "\\.[" + _CLOSE.replace("'", "''") + "]*) ", "'\\1\\2' || chr(2)", 2)} AS t FROM a),
-c AS (SELECT doc_id, {_turns("t", "([" + _END + "][" + _CLOSE.replace("'", "''") + "]*) ([^\\p{Ll}])", "'\\1' || chr(1) || '\\2'", 2)} AS t FROM b)
+c AS (SELECT doc_id, {_turns("t", "([" + _END + "][" + _CLOSE.replace("'", "''") + "]*) ([^\\p{Ll}])", "'\\1' || chr(1) || '\\2'", 2)} AS t FROM b)"""
+_SENT = f"""WITH {_SENT_PARTS}
 SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(1))) END::BIGINT AS n_sentences FROM c"""
 
 _A, _Z = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -176,7 +182,7 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, CASE WHEN rule IS NOT NULL THEN rule WHEN letters < 4 THEN 'und' WHEN v > 1 - v THEN 'vow' ELSE 'con' END AS language, CASE WHEN rule IS NULL AND letters >= 4 THEN round(greatest(v, 1 - v), 4) END AS score FROM b""",
     "route_pairs": f"WITH {choice(_OWN)} SELECT profile, source, target, family, precision FROM chosen",
     "route_constrained": f"WITH {choice(_OWN, _LIMIT)} SELECT profile, source, target, family, precision FROM chosen",
-    "auto_choices": f"WITH {choice('SELECT code AS source, ' + q('en') + ' AS target FROM langs WHERE code != ' + q('en'))} SELECT source, family, precision FROM chosen WHERE profile = 'balance'",
+    "auto_choices": f"WITH {choice('SELECT code AS source, ' + q('en') + ' AS target FROM langs WHERE code != ' + q('en') + ' UNION ALL SELECT NULL, ' + q('en'))} SELECT source, family, precision FROM chosen WHERE profile = 'balance'",
     "supported_languages": f"WITH {choice('SELECT a.code AS source, b.code AS target FROM langs a, langs b WHERE a.code != b.code')} SELECT profile, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets FROM chosen GROUP BY profile",
     "model_costs": f"WITH {COSTS} SELECT * FROM costs",
     "rejected_models": f"WITH {COSTS} SELECT family, precision, CASE WHEN lower(license) != 'apache-2.0' THEN 'licence ' || license || ' is not allowed' WHEN bytes > {300 * catalog.MB} THEN printf('%.0f', bytes / {float(catalog.MB)}) || ' MB is over the limit (300 MB)' END AS reason FROM costs",
@@ -196,6 +202,13 @@ SELECT o_custkey, min(a) AS start, max(b) AS "end" FROM i GROUP BY o_custkey, g"
     "split_roundtrip": "SELECT page_id, sha256(html) AS sha FROM pages",
     "mask_restore_roundtrip": "SELECT conv_id, turn, true AS same FROM conversations",
     "sentence_counts": _SENT,
+    "distinct_sentences": f"WITH {sentences('conversations', 'conv_id, turn')} SELECT s AS sentence, count(*) AS n FROM (SELECT unnest(string_split(replace(t, chr(2), ' '), chr(1))) AS s FROM c WHERE t != '') GROUP BY s",
+    "gather_sentences": f"WITH {sentences('documents', 'doc_id')} SELECT doc_id, CAST(len(l) AS BIGINT) AS n, sha256(array_to_string(list_transform(l, lambda x: translate(x, '{_A}', '{_Z}') || '|'), '')) AS sha FROM (SELECT doc_id, string_split(replace(t, chr(2), ' '), chr(1)) AS l FROM c WHERE t != '')",
+    "literal_retention": f"""WITH e AS (SELECT lower(text) AS t, regexp_extract_all(text, {q(literals.EMAIL_PATTERN)}) AS e FROM documents)
+SELECT kept, count(*) AS n FROM (SELECT len(list_filter(e, lambda x: (length(t) - length(replace(t, x, ''))) / length(x) < len(list_filter(e, lambda y: y = x)))) = 0 AS kept FROM e WHERE len(e) > 0) GROUP BY kept""",
+    "supported_language_sets": f"WITH {choice('SELECT a.code AS source, b.code AS target FROM langs a, langs b WHERE a.code != b.code')} SELECT DISTINCT profile, unnest(['source', 'target']) AS side, unnest([source, target]) AS code FROM chosen WHERE profile = 'quality'",
+    "language_union": f"WITH {RULES}, {values([(c,) for c in _ALL], 'named', 'code')}, w AS (SELECT code FROM small UNION SELECT code FROM named WHERE code NOT IN {catalog.NOT_LARGE} UNION SELECT target FROM pairs) SELECT CASE WHEN w.code IS NOT NULL THEN true END AS written, CASE WHEN named.code IS NOT NULL THEN true END AS named, count(*) AS n FROM w FULL JOIN named ON w.code = named.code GROUP BY 1, 2",
+    "model_file_names": "SELECT * FROM (VALUES " + ", ".join(f"({q(f)}, {q(p)}, {q(n)})" for f, p in sorted({m for r in catalog.RULES.values() for m in r} | set(catalog.MEASURED_MB)) for n in catalog.model_files(f, p)) + ") AS t(family, precision, file)",
     "segment_roundtrip": "SELECT doc_id, sha256(text) AS sha FROM documents",
     "translate_toy": f"SELECT conv_id, turn, CASE WHEN {_BLANK} THEN text ELSE {_SWAP.format('text')} || ':es' END AS out, CASE WHEN {_BLANK} THEN 'unchanged' ELSE 'translated' END AS status FROM conversations",
     "translate_preserve": "SELECT page_id, 'SEE:es ' || url AS out, 'segments' AS preservation FROM pages",

@@ -30,6 +30,26 @@ SMALL = tuple(
 NOT_LARGE = ("br", "fy")
 
 
+# What a precision adds to a graph's file name.
+SUFFIXES = {"fp32": "", "int8": "_quantized", "q4": "_q4"}
+#: Families whose decoder is one graph with and without a cache; the others have a graph without.
+MERGED = ("pair", "large")
+
+
+def model_files(family: str, precision: str) -> tuple[str, ...]:
+    """The files a model of a family and precision needs: encoder, decoder, tokenizer, settings."""
+    if precision not in SUFFIXES:
+        raise ValueError(f"precisions are {', '.join(SUFFIXES)}, not {precision!r}")
+    decoder = "decoder_model_merged" if family in MERGED else "decoder_model"
+    return f"encoder_model{SUFFIXES[precision]}.onnx", f"{decoder}{SUFFIXES[precision]}.onnx", "tokenizer.json", "config.json"
+
+
+def files_by_precision(spark: SparkSession) -> DataFrame:
+    """model_files(family, precision, file) of every family and precision that a profile knows."""
+    models = sorted({m for r in RULES.values() for m in r} | set(MEASURED_MB))
+    return spark.createDataFrame([(f, p, n) for f, p in models for n in model_files(f, p)], "family string, precision string, file string")
+
+
 def pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PAIRS), "source string, target string")
 

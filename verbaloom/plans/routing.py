@@ -70,6 +70,17 @@ def totals(plan: DataFrame) -> DataFrame:
     )
 
 
+def language_sets(chosen: DataFrame) -> DataFrame:
+    """(profile, side, code): the sources and targets that any pair of a profile reaches."""
+    side = lambda name: chosen.where(F.col(name).isNotNull()).select("profile", F.lit(name).alias("side"), F.col(name).alias("code"))
+    return side("source").unionAll(side("target")).distinct()
+
+
+def supports(chosen: DataFrame, source: str | None, target: str) -> bool:
+    """Whether any profile translates the pair; a null source is an unknown one."""
+    return not chosen.where(F.col("source").eqNullSafe(F.lit(source)) & (F.col("target") == target)).isEmpty()
+
+
 def reachable(chosen: DataFrame) -> DataFrame:
     """How many sources and targets each profile reaches."""
     return chosen.groupBy("profile").agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("target").alias("n_targets"))

@@ -230,7 +230,7 @@ def language_codes():
 
 def requests(spark, profiles=("speed", "balance", "quality"), sources=None, targets=None):
     sources = language_codes() if sources is None else sources
-    rows = spark.createDataFrame([(c,) for c in sources], "source string").join(spark.createDataFrame([(c,) for c in targets or language_codes()], "target string"), F.col("source") != F.col("target"))
+    rows = spark.createDataFrame([(c,) for c in sources], "source string").join(spark.createDataFrame([(c,) for c in targets or language_codes()], "target string"), ~F.col("source").eqNullSafe(F.col("target")))
     return rows.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
 
 
@@ -266,7 +266,8 @@ def route_constrained(spark, d):
 
 @query
 def auto_choices(spark, d):
-    return routed(spark, sources=[*language_codes()], targets=["en"], profiles=("balance",)).select("source", "family", "precision")
+    """The model of each source, an unknown one included; its row has a null source."""
+    return routed(spark, sources=[*language_codes(), None], targets=["en"], profiles=("balance",)).select("source", "family", "precision")
 
 
 @query
@@ -274,6 +275,24 @@ def supported_languages(spark, d):
     return routing.reachable(routed(spark))
 
 
+@query
+def supported_language_sets(spark, d):
+    return routing.language_sets(routed(spark, profiles=("quality",)))
+
+
+@query
+def language_union(spark, d):
+    """Languages that the small or the large family writes, and whether the catalogue names them: both sets are one."""
+    written = catalog.model_languages(spark, language_codes()).where("side = 'target'").select("code").union(catalog.pairs(spark).select("target")).distinct()
+    named = codes.languages(spark).select("code").withColumn("named", F.lit(True))
+    return written.withColumn("written", F.lit(True)).join(named, "code", "full").groupBy("written", "named").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def model_file_names(spark, d):
+    return catalog.files_by_precision(spark)
+
+
 @query
 def model_costs(spark, d):
     return routing.costs(files(spark), catalog.measured(spark))

@@ -36,6 +36,25 @@ def translate_stream(stream: DataFrame, text_col: str, result_col: str, translat
     return translation.translate(stream, text_col, result_col, **options)
 
 
+def first_rows(stream: DataFrame, n: int, checkpoint: str) -> list:
+    """The first n rows of an append stream, after which it stops; of what lies ahead no further batch is read."""
+    if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+        raise ValueError(f"n is a whole number of at least 1, not {n!r}")
+    found: list = []
+
+    def take(batch: DataFrame, _: int) -> None:
+        if len(found) < n:
+            found.extend(batch.limit(n - len(found)).collect())
+
+    query = stream.writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", checkpoint).start()
+    try:
+        while len(found) < n and query.isActive and (query.status["isDataAvailable"] or query.status["isTriggerActive"] or query.lastProgress is None):
+            query.awaitTermination(0.05)
+    finally:
+        query.stop()
+    return found[:n]
+
+
 def label_counts(stream: DataFrame, label: str) -> DataFrame:
     """Rows per label so far; for complete or update mode."""
     return stream.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
