@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbaloom import queries
-from verbaloom.operators.detect import BatchDetector, LanguageDetection
+from verbaloom.operators import ngram_model
+from verbaloom.operators.detect import BatchDetector, LanguageDetection, NgramDetector
 from verbaloom.plans import catalog, routing
 from verbaloom.sources import text_lines
 from verbaloom.streaming import streams
@@ -41,12 +42,13 @@ def vowels():
 def test_stream_equals_batch(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
-    detection = LanguageDetection(BatchDetector(vowels))
     stream = streams.read_rows(spark, str(tmp_path / "in"), "doc_id long, text string")
-    out = str(tmp_path / "out")
-    streams.run_once(streams.detect_stream(stream, "doc_id", "text", detection).select("doc_id", F.col("_detection.language").alias("l")), lambda df, _: df.write.mode("append").parquet(out), str(tmp_path / "c1"))
-    batch = detection.detect(docs, "doc_id", "text").select("doc_id", F.col("_detection.language").alias("l"))
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
+    labelled = spark.read.parquet(f"{data}/documents.parquet")
+    for name, detector in (("batch", BatchDetector(vowels)), ("trigrams", NgramDetector(ngram_model.train(labelled, "text", "lang")))):
+        detection, out = LanguageDetection(detector), str(tmp_path / f"out-{name}")
+        streams.run_once(streams.detect_stream(stream, "doc_id", "text", detection).select("doc_id", F.col("_detection.language").alias("l")), lambda df, _, out=out: df.write.mode("append").parquet(out), str(tmp_path / f"c1-{name}"))
+        batch = detection.detect(docs, "doc_id", "text").select("doc_id", F.col("_detection.language").alias("l"))
+        assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
     counts: dict = {}
     labels = streams.with_rule_label(streams.read_rows(spark, str(tmp_path / "in"), "doc_id long, text string"), "text").withColumn("rule", F.coalesce("rule", F.lit("text")))
     streams.run_once(streams.label_counts(labels, "rule"), lambda df, _: counts.update({r.rule: r.n for r in df.collect()}), str(tmp_path / "c2"), "complete")

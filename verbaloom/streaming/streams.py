@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verbaloom.functions import content
-from verbaloom.operators.detect import LanguageDetection
+from verbaloom.operators.detect import Detector, LanguageDetection
 from verbaloom.operators.translate import Translation
 
 
@@ -24,7 +24,7 @@ def with_rule_label(stream: DataFrame, text_col: str) -> DataFrame:
 
 def detect_stream(stream: DataFrame, id_col: str, text_col: str, detection: LanguageDetection) -> DataFrame:
     """Models that score row by row only: they need neither state nor a join, and give what the batch gives."""
-    if detection.detector.column(F.lit("")) is None:
+    if not isinstance(detection.detector, Detector) or detection.detector.column(F.lit("")) is None:
         raise TypeError("a stream needs a detector that works row by row; this model is a table that has to be joined")
     return detection.detect(stream, id_col, text_col)
 
