@@ -114,7 +114,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "p
     members = cut(components(links), "url-components")
     ruled = with_rules(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), rules, listed_rules).withColumn("node", node_of("url"))
     verdicts = ruled.where("__rule IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("__rule.verdict").alias("v"))
-    held = verdicts.join(members, "node").groupBy("component").agg(F.min("v").alias("decision"))  # allow sorts before block
+    # Allow sorts before block. Read back, both sides of the next join are plain, and Spark can split a large component.
+    held = cut(verdicts.join(members, "node").groupBy("component").agg(F.min("v").alias("decision")), "url-decisions")
     decided = members.join(held, "component").select("node", "decision")
     rule = F.concat("__rule.host", "__rule.path")
     return ruled.join(decided, "node", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce("__rule.verdict", "decision", F.lit(default)).alias("verdict"))
