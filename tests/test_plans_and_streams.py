@@ -83,3 +83,19 @@ def test_queries_against_sql(spark, data):
         want = c.execute(oracles.ORACLES[name])
         names = [x[0] for x in want.description]
         assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall())), name
+
+
+def test_batch_model_ties_and_halves(spark, tmp_path):
+    """Texts of as many vowels as other characters, and shares that end in a half of the last digit kept."""
+    import duckdb
+
+    from verbaloom import oracles
+
+    shares = [(2, 4), (400, 800), (81, 800), (131, 800), (323, 800), (427, 800), (477, 800), (5, 8), (0, 6), (6, 6)]
+    texts = ["a" * k + "b" * (n - k) for k, n in shares] + ["ab", "", None]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.execute("SELECT doc_id, language, score FROM (" + oracles.ORACLES["detect_batch_model"] + ")").fetchall())
+    assert sorted(map(tuple, queries.QUERIES["detect_batch_model"](spark, str(tmp_path)).collect())) == want
+    assert [x[1:] for x in want[:4]] == [("con", 0.5), ("con", 0.5), ("con", 0.8988), ("con", 0.8363)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbaloom.functions import codes, content, literals, segment
@@ -41,6 +41,12 @@ def flat(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("_detection.language").alias("language"), F.col("_detection.status").alias("status"), F.col("_detection.top_language").alias("top_language"), F.round("_detection.score", 4).alias("score"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x as SQL engines round it, by its product with a power of ten; Spark's own round goes by the digits that x prints as."""
+    by = float(10**places)
+    return F.round(x * by) / by
+
+
 # Content
 
 
@@ -216,9 +222,10 @@ def _longest_word_model():
 
 @query
 def detect_batch_model(spark, d):
-    detection = LanguageDetection(BatchDetector(_longest_word_model, ("vow", "con")), Policy(min_letters=4))
+    """Texts are vow where vowels are more than half, else con, so con leads the axis by which equal scores are ordered."""
+    detection = LanguageDetection(BatchDetector(_longest_word_model, ("con", "vow")), Policy(min_letters=4))
     found = detection.detect(docs(spark, d), "doc_id", "text")
-    return found.select("doc_id", F.col("_detection.language").alias("language"), F.round("_detection.score", 4).alias("score"))
+    return found.select("doc_id", F.col("_detection.language").alias("language"), rounded(F.col("_detection.score"), 4).alias("score"))
 
 
 # Routing and cost
